@@ -156,7 +156,7 @@ def feed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("v").cast("decimal(18,4)").cast("string"))
     stat = lambda t, v: F.struct(F.lit(t).alias("type"), v.alias("value"))
     return fixtures.select(
-        "fixture_id", F.struct((F.col("block") * 2 + F.col("side")).alias("id"),
+        "fixture_id", F.col("side").alias("stat_pos"), F.struct((F.col("block") * 2 + F.col("side")).alias("id"),
                                F.concat(F.lit("Club "), F.col("block") * 2 + F.col("side")).alias("name")).alias("team"),
         F.array(stat("Ball Possession", F.lit("50%")), stat("expected_goals", xg)).alias("statistics"))
 
