@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from contract import tables as T
 from contract.registry import register, rounded
 from contract.sql import cte, query
+from contract.stint_queries import readable
+from pitchline.session import scratch_path
+from pitchline.sources.feed import stream_payloads
+from pitchline.streaming import jobs, state
 from pitchline.streaming import normalize as N
 
 
@@ -49,3 +53,92 @@ def live_events(spark, d):
     return rounded(N.normalize(payloads(spark, d)).select(*LIVE_COLUMNS))
 
 
+
+
+# --- streams and state ------------------------------------------------------------------------------------------
+
+def feed_dict(spark, d):
+    return {"events": T.feed_events(spark, d), "lineups": T.feed_lineups(spark, d), "players": T.feed_players(spark, d),
+            "statistics": T.feed_statistics(spark, d)}
+
+
+_DONE: dict[tuple, str] = {}
+
+
+def once(build):
+    """Folder filled by ``build``, shared by the queries of one session that read it."""
+    def shared(spark, d):
+        key = (build.__name__, spark.sparkContext.applicationId, d)
+        if key not in _DONE:
+            root = scratch_path(spark, build.__name__)
+            build(spark, d, root)
+            _DONE[key] = root
+        return _DONE[key]
+    return shared
+
+
+@once
+def published(spark, d, base):
+    """Payload files picked up by a stream that writes the raw payloads and the events in them."""
+    payloads(spark, d).write.text(f"{base}/landing")
+    jobs.publish(stream_payloads(spark, f"{base}/landing"), f"{base}/raw", f"{base}/events", f"{base}/checkpoint", None).awaitTermination()
+
+
+@register("published_events", query("SELECT match_id, minute, event_type, team_id, player_id, xg FROM live", "live"))
+def published_events(spark, d):
+    schema = "match_id string, minute int, event_type string, team_id string, player_id string, xg double"
+    out = spark.read.schema(schema).json(f"{published(spark, d)}/events")
+    return rounded(out.select("match_id", "minute", "event_type", "team_id", "player_id", "xg"))
+
+
+@register("published_raw", query("SELECT CAST(count(*) AS BIGINT) AS payloads FROM feed", "feed"))
+def published_raw(spark, d):
+    return spark.read.text(f"{published(spark, d)}/raw").agg(F.count(F.lit(1)).alias("payloads"))
+
+
+@once
+def synced(spark, d, root):
+    """State after finished fixtures, then two rounds of live fixtures of which the second lists fewer."""
+    fixtures, parts = T.feed_fixtures(spark, d), feed_dict(spark, d)
+    live = fixtures.filter("fixture.status.short = '2H'")
+    jobs.sync_finished(root, fixtures, parts)
+    jobs.sync_live(root, live, parts)
+    jobs.sync_live(root, live.filter("fixture.id % 8 = 3"), parts)
+
+
+@register("state_fixtures", query("""
+SELECT f.fixture_id, league_id, season, date, status, CAST(goals_home AS DOUBLE) AS goals_home, h.xg AS xg_home,
+  status = '2H' AND f.fixture_id % 8 = 3 AS is_live, status <> '2H' AS is_finished
+FROM feed_fixtures f LEFT JOIN feed_xg h ON h.fixture_id = f.fixture_id AND h.team_id = home_team_id""", "feed_fixtures", "feed_xg"))
+def state_fixtures(spark, d):
+    return state.read_fixtures(spark, synced(spark, d)).select(
+        "fixture_id", "league_id", "season", "date", "status", "goals_home", "xg_home", "is_live", "is_finished")
+
+
+@register("state_player_rows", query("""SELECT p.* EXCLUDE (game_id), game_id AS fixture_id, league_id, season
+FROM player_rows p JOIN feed_fixtures f ON game_id = fixture_id WHERE status <> '2H'""", "player_rows", "feed_fixtures"))
+def state_player_rows(spark, d):
+    return state.read_player_rows(spark, synced(spark, d))
+
+
+@register("state_stints", query("""
+SELECT s.league_id, s.season, game_id, row_number() OVER (PARTITION BY game_id ORDER BY start) - 1 AS stint_index, start, s.stop, duration,
+  home_players, away_players, score_diff, red_home, red_away FROM fx_stints s""", "fx_stints"))
+def state_stints(spark, d):
+    stints = state.decode_lineups(state.encode_lineups(state.read_stints(spark, synced(spark, d))))
+    return readable(stints.drop("xg_diff", "home_team_id", "away_team_id"))
+
+
+@register("current_ratings_from_state")
+def current_ratings_from_state(spark, d):
+    return jobs.current_ratings(spark, synced(spark, d)).select(
+        "league_id", "season", "player_id", "player", "position", "minutes", "rapm", "spm", "bpm", "epm")
+
+
+@register("latest_record_per_key", """
+SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
+  FROM orders) WHERE r = 1""")
+def latest_record_per_key(spark, d):
+    orders = T.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn(
+        "version", F.struct("o_orderdate", "o_orderkey"))
+    return state.latest(orders, "o_custkey", "version").drop("version")
