@@ -117,8 +117,8 @@ SELECT league, season, p, q, round(s, 4) AS s FROM (
 WHERE abs(s) > 1e-7""", "design", "design_yw"))
 def weighted_sums(spark, d):
     keys = ("league", "season")
-    rows = ridge.in_chunks(design.design_rows(all_stints(spark, d), keys), keys, ["game_id", "start"])
-    sums = ridge.gram_sums(materialize(rows, "design"), keys).filter(F.abs("s") > 1e-7)
+    rows = ridge.in_chunks(materialize(design.design_rows(all_stints(spark, d), keys), "design"), keys, ["game_id", "start"])
+    sums = ridge.gram_sums(rows, keys).filter(F.abs("s") > 1e-7)
     code = lambda c: F.when(F.col(c) == ridge.TARGET, -5).when(F.col(c) == ridge.INTERCEPT, -4).otherwise(short_code(c)).alias(c)
     return sums.select(*keys, code("p"), code("q"), (F.round("s", 4) + 0.0).alias("s"))
 
@@ -151,7 +151,7 @@ JOIN ctx_m USING (league, season)""", "ctx_loo", "ctx_i", "ctx_m"))
 def ridge_on_context(spark, d):
     keys = ("league", "season")
     rows = design.design_rows(all_stints(spark, d), keys, players=False)
-    rows = materialize(ridge.in_chunks(rows, keys, ["game_id", "start"]), "context")
+    rows = ridge.in_chunks(materialize(rows, "context"), keys, ["game_id", "start"])
     fit = ridge.fit_ridge(rows, ridge.gram_sums(rows, keys), keys)
     coef = lambda name: F.round(F.max(F.when(F.col("feature") == design.CONTEXT[name], F.col("coef"))), 5) + 0.0
     wide = fit.coefficients.groupBy(*keys).agg(*[coef(n).alias(n) for n in design.CONTEXT])

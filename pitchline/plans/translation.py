@@ -34,7 +34,7 @@ def league_coefficients(ratings: DataFrame, min_minutes: int = 900, alpha: float
     rows = transfer_samples(ratings, min_minutes, value).select(
         F.lit("all").alias("scope"), "player_id", F.array(F.xxhash64("dest"), F.xxhash64("origin")).alias("f"),
         F.array(F.lit(1.0), F.lit(-1.0)).alias("v"), "y", F.col("weight").cast("double").alias("w"))
-    rows = materialize(in_chunks(rows, ["scope"], ["player_id"]), "transfers")
+    rows = in_chunks(materialize(rows, "transfers"), ["scope"], ["player_id"])
     fit = fit_ridge(rows, gram_sums(rows, ["scope"]), ["scope"], [alpha], intercept=False)
     raw = leagues.join(fit.coefficients.select("feature", "coef"), "feature", "left").select(
         "league", F.coalesce("coef", F.lit(0.0)).alias("coef"))
