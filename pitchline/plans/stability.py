@@ -41,39 +41,46 @@ def ar1_sums(steps: DataFrame) -> DataFrame:
         over(d * d).alias("dd"), over(e * e).alias("ee"), over(d * e).alias("de"))
 
 
-def _likelihood(phi: Column) -> tuple[Column, Column]:
-    """Exact Gaussian log-likelihood of AR(1) at ``phi`` with mean and variance at their best, and that variance."""
-    n, m, one = F.col("n"), F.col("n") - 1, 1 - phi
-    ends = 1 - phi * phi
-    drift = F.col("a") - phi * F.col("b")
-    mu = one * drift / (ends + m * one * one)
-    square = F.col("dd") - 2 * phi * F.col("de") + phi * phi * F.col("ee") - 2 * one * mu * drift + m * one * one * mu * mu
-    var = (ends * mu * mu + square) / n
-    loglik = -n / 2 * (F.ln(F.lit(2 * math.pi) * var) + 1) + F.ln(ends) / 2
-    return F.when(var > 0, loglik), var
+def _best_phi(centre: Column, step: float, reach: int) -> Column:
+    """Grid point around ``centre`` with the highest exact Gaussian AR(1) likelihood, mean and variance at their best.
+
+    Mean, variance and likelihood are three steps over the array, so each is computed once per grid point; the centre
+    goes in as an array, so that it is computed once per row.
+    """
+    n, m = F.col("n"), F.col("n") - 1
+    grid = F.zip_with(F.array_repeat(centre, 2 * reach + 1), F.sequence(F.lit(-reach), F.lit(reach)), lambda c, i: c + i * F.lit(step))
+    points = F.transform(F.filter(grid, lambda phi: F.abs(phi) < 1), lambda phi: F.struct(
+        phi.alias("phi"), (1 - phi).alias("one"), (1 - phi * phi).alias("ends"), (F.col("a") - phi * F.col("b")).alias("drift")))
+    points = F.transform(points, lambda p: F.struct(
+        p["phi"].alias("phi"), p["one"].alias("one"), p["ends"].alias("ends"), p["drift"].alias("drift"),
+        (p["one"] * p["drift"] / (p["ends"] + m * p["one"] * p["one"])).alias("mu")))
+    points = F.transform(points, lambda p: F.struct(p["phi"].alias("phi"), p["ends"].alias("ends"), _variance(p, n, m).alias("var")))
+    scored = F.transform(points, lambda p: F.struct(F.coalesce(F.when(
+        p["var"] > 0, F.ln(p["ends"]) / 2 - n / 2 * F.ln(p["var"])), F.lit(float("-inf"))).alias("l"), p["phi"].alias("phi")))
+    return F.array_max(scored)["phi"]
+
+
+def _variance(p: Column, n: Column, m: Column) -> Column:
+    phi, one, mu = p["phi"], p["one"], p["mu"]
+    return (p["ends"] * mu * mu + F.col("dd") - 2 * phi * F.col("de") + phi * phi * F.col("ee") - 2 * one * mu * p["drift"]
+            + m * one * one * mu * mu) / n
 
 
 def ar1_fit(sums: DataFrame, levels: int = 3) -> DataFrame:
     """Add ``ar1``, ``resid_std`` and ``aic``: likelihood searched on a grid in (-1, 1), refined around its best point."""
-    def best(centre: Column | None, step: float, reach: int) -> Column:
-        def point(i: Column) -> Column:
-            phi = i * F.lit(step) if centre is None else centre + i * F.lit(step)
-            inside = F.abs(phi) < 1
-            safe = F.when(inside, phi).otherwise(F.lit(0.0))
-            return F.struct(F.when(inside, F.coalesce(_likelihood(safe)[0], F.lit(float("-inf")))).otherwise(
-                F.lit(float("-inf"))).alias("l"), phi.alias("phi"))
-        grid = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), point)
-        return F.array_max(grid)["phi"]
-
-    fitted = sums.withColumn("phi", best(None, 0.01, 99))
-    step = 0.01
+    fitted, step = sums.withColumn("phi", _best_phi(F.lit(0.0), 0.01, 99)), 0.01
     for _ in range(levels):
         step /= 20
-        fitted = fitted.withColumn("phi", best(F.col("phi"), step, 20))
-    loglik, var = _likelihood(F.col("phi"))
-    moves = F.col("hi") > F.col("lo")
-    return fitted.withColumns({"ar1": F.when(moves, F.col("phi")), "resid_std": F.when(moves, F.sqrt(var)),
-                               "aic": F.when(moves, 6 - 2 * loglik)}).drop("phi")
+        fitted = fitted.withColumn("phi", _best_phi(F.col("phi"), step, 20))
+    n, m, phi = F.col("n"), F.col("n") - 1, F.col("phi")
+    fitted = fitted.withColumns({"one": 1 - phi, "ends": 1 - phi * phi, "drift": F.col("a") - phi * F.col("b")})
+    fitted = fitted.withColumn("mu", F.col("one") * F.col("drift") / (F.col("ends") + m * F.col("one") * F.col("one")))
+    point = {c: F.col(c) for c in ("phi", "one", "ends", "drift", "mu")}
+    fitted = fitted.withColumn("var", _variance(point, n, m))
+    loglik = -n / 2 * (F.ln(F.lit(2 * math.pi) * F.col("var")) + 1) + F.ln("ends") / 2
+    moves = (F.col("hi") > F.col("lo")) & (F.col("var") > 0)
+    return fitted.withColumns({"ar1": F.when(moves, phi), "resid_std": F.when(moves, F.sqrt("var")),
+                               "aic": F.when(moves, 6 - 2 * loglik)}).drop("phi", "one", "ends", "drift", "mu", "var")
 
 
 def player_stability(df: DataFrame, value: str, min_minutes: int = 900, min_points: int = 4, ewma_span: int = 3) -> DataFrame:

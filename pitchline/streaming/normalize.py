@@ -32,39 +32,47 @@ def members(v: Column | str) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+def typed(v: Column) -> Column:
+    """Schema, text and number of a variant, looked at once."""
+    return F.struct(F.schema_of_variant(v).alias("kind"), text(v).alias("text"), F.try_variant_get(v, "$", "double").alias("number"))
 
 
-def typed(v: Column) -> Column:
-    """Kind (number, flag, object, list or text), text and number of a variant, looked at once."""
-    kind = F.schema_of_variant(v)
-    named = (F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "number").when(kind == "BOOLEAN", "flag")
-             .when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "list").otherwise("text"))
-    return F.struct(named.alias("kind"), text(v).alias("text"), F.try_variant_get(v, "$", "double").alias("number"))
+def is_number(t: Column) -> Column:
+    return t["kind"].isin("BIGINT", "DOUBLE", "FLOAT") | t["kind"].startswith("DECIMAL")
+
+
+def get(v: Column, key: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{key}", kind)
+
 
+def first_text(v: Column, keys: list[str]) -> Column:
+    """Text of the first candidate name that is present and not null."""
+    return F.coalesce(*[get(v, k, "string") for k in keys])
 
-def is_truthy(v: Column) -> Column:
-    """False for null, empty, zero and false."""
-    t = typed(v)
-    quoted = F.schema_of_variant(v) == "STRING"
-    return F.when(quoted, t["text"] != "").when(t["kind"] == "number", t["number"] != 0).when(
-        t["kind"] == "flag", t["text"] == "true").otherwise(~t["text"].isin("{}", "[]") & ~F.is_variant_null(v))
 
+def first_variant(v: Column, keys: list[str]) -> Column:
+    """The same, keeping the type; a JSON null is not SQL NULL and has to be passed over explicitly."""
+    return F.coalesce(*[F.when(~F.is_variant_null(get(v, k)), get(v, k)) for k in keys])
 
-def first_key(m: Column, keys: list[str], usable=lambda v: ~F.is_variant_null(v)) -> Column:
-    """First usable member among the candidate names (JSON null never is)."""
-    found = F.transform(F.array(*map(F.lit, keys)), lambda k: F.try_element_at(m, k))
-    return F.get(F.filter(found, lambda v: v.isNotNull() & usable(v)), F.lit(0))
 
+def truthy(v: Column, key: str, out: Column) -> Column:
+    """``out`` unless the member is null, empty text, zero, false or an empty container."""
+    t = get(v, key, "string")
+    falsy = (t == "") | (t.isin("0", "0.0", "-0.0", "false", "{}", "[]") & (F.schema_of_variant(get(v, key)) != "STRING"))
+    return F.when(t.isNotNull() & ~falsy, out)
 
-def first_truthy(m: Column, keys: list[str]) -> Column:
-    return first_key(m, keys, is_truthy)
+
+def first_truthy_text(v: Column, keys: list[str]) -> Column:
+    return F.coalesce(*[truthy(v, k, get(v, k, "string")) for k in keys])
+
+
+def first_truthy(v: Column, keys: list[str]) -> Column:
+    return F.coalesce(*[truthy(v, k, get(v, k)) for k in keys])
 
 
 def whole(t: Column) -> Column:
     """Integer of a number (truncated), a flag (0/1) or digits in a text; else NULL. ``t`` is a ``typed`` struct."""
-    return (F.when(t["kind"] == "number", t["number"].try_cast("bigint")).when(t["kind"] == "flag", (t["text"] == "true").cast("bigint"))
+    return (F.when(is_number(t), t["number"].try_cast("bigint")).when(t["kind"] == "BOOLEAN", (t["text"] == "true").cast("bigint"))
             .otherwise(S.safe_int(t["text"])))
 
 
@@ -74,37 +82,40 @@ def parse_minute(t: Column) -> Column:
     parts = F.split(words, r"\+")
     worded = F.when(words.rlike(r"^\d+\+\d+$"), F.get(parts, F.lit(0)).try_cast("bigint") + F.get(parts, F.lit(1)).try_cast("bigint")
                     ).otherwise(F.regexp_replace(words, r"\D", "").try_cast("bigint"))
-    return F.when(t["kind"].isin("number", "flag"), whole(t)).otherwise(worded).try_cast("int")
+    return F.when(is_number(t) | (t["kind"] == "BOOLEAN"), whole(t)).otherwise(worded).try_cast("int")
 
 
 def score_parts(score: Column) -> Column:
     """Home and away figures of an object with either spelling, or the two sides of ``home-away`` text, still typed."""
-    m = members(score)
-    side = lambda name: typed(first_key(m, [name, f"{name}_score", f"{name}Score"], lambda v: (text(v) != "") & ~F.is_variant_null(v)))
     words = text(score)
-    worded = lambda part: F.struct(F.lit("text").alias("kind"), part.alias("text"), F.lit(None).cast("double").alias("number"))
+    filled = lambda k: F.when(get(score, k, "string") != "", get(score, k))
+    side = lambda name: typed(F.coalesce(*[filled(k) for k in (name, f"{name}_score", f"{name}Score")]))
+    worded = lambda part: F.struct(F.lit("STRING").alias("kind"), part.alias("text"), F.lit(None).cast("double").alias("number"))
     left = F.substring_index(words, "-", 1)
-    right = F.substr(words, F.length(left) + 2)
-    split = F.struct(worded(left).alias("home"), worded(right).alias("away"))
+    split = F.struct(worded(left).alias("home"), worded(F.substr(words, F.length(left) + 2)).alias("away"))
     named = F.struct(side("home").alias("home"), side("away").alias("away"))
-    return F.when(m.isNotNull(), named).when(words.contains("-"), split)
+    return F.when(words.startswith("{") & (F.schema_of_variant(score) != "STRING"), named).when(words.contains("-"), split)
+
+
+def objects(variants: Column) -> Column:
+    """Array of variants as (raw, members) pairs; members are NULL for what is no object."""
+    return F.transform(variants, lambda x: F.struct(x.alias("raw"), members(x).alias("m")))
 
 
 def explode_items(parsed: DataFrame, repeat_known_keys: bool = False) -> DataFrame:
-    """One row per item variant ``__i`` of column ``__p``. Each list counts once; ``repeat_known_keys`` counts lists under
-    well-known keys twice."""
-    objects_only = lambda a: a.isNotNull() & (F.size(a) > 0) & F.forall(a, is_object)
-    as_list = lambda v: F.try_variant_get(v, "$", "array<variant>")
-    lists = lambda m: F.filter(F.transform(F.map_values(m), as_list), objects_only)
-    m = members("__p")
-    base = parsed.withColumn("__m", m).withColumn(
+    """One (raw, members) pair ``__i`` per item of column ``__p``. Each list counts once; ``repeat_known_keys`` counts
+    lists under well-known keys twice."""
+    as_list = lambda v: objects(F.try_variant_get(v, "$", "array<variant>"))
+    objects_only = lambda a: a.isNotNull() & (F.size(a) > 0) & F.forall(a, lambda x: x["m"].isNotNull())
+    lists = lambda m: F.transform(F.map_values(m), as_list)
+    base = parsed.withColumn("__m", members("__p")).withColumn(
         "__b", F.when(F.map_contains_key("__m", F.lit("result")), F.try_element_at("__m", F.lit("result"))).otherwise(F.col("__p")))
-    base = base.withColumns({"__m": members("__b"), "__l": as_list(F.col("__b"))})
+    base = base.withColumn("__m", members("__b"))
     found = lists(F.col("__m"))
     if repeat_known_keys:
         found = F.concat(lists(F.map_filter("__m", lambda k, _: k.isin(LIST_KEYS))), found)
-    found = F.when(F.col("__m").isNotNull(), found).otherwise(F.filter(F.array(F.col("__l")), objects_only))
-    return base.select("ingested_at", F.explode(F.flatten(found)).alias("__i"))
+    found = F.when(F.col("__m").isNotNull(), found).otherwise(F.array(as_list(F.col("__b"))))
+    return base.select("ingested_at", F.explode(F.flatten(F.filter(found, objects_only))).alias("__i"))
 
 
 def normalize(payloads: DataFrame, value: str = "value", source: str = "live-feed", ingested_at: Column | None = None,
@@ -115,35 +126,38 @@ def normalize(payloads: DataFrame, value: str = "value", source: str = "live-fee
     """
     when = S.utc_now_second() if ingested_at is None else ingested_at
     parsed = payloads.select(when.alias("ingested_at"), F.try_parse_json(F.col(value).cast("string")).alias("__p"))
-    items = explode_items(parsed, repeat_known_keys).withColumn("__l", F.try_variant_get("__i", "$.events", "array<variant>"))
+    items = explode_items(parsed, repeat_known_keys).withColumn(
+        "__l", objects(F.try_variant_get(F.try_element_at("__i.m", F.lit("events")), "$", "array<variant>")))
     has_list = F.coalesce(F.size("__l"), F.lit(0)) > 0
-    rows = items.select("ingested_at", members("__i").alias("__mi"), has_list.alias("__inner"), F.explode(
-        F.when(has_list, F.filter("__l", is_object)).otherwise(F.array("__i"))).alias("raw"))
-    rows = rows.withColumn("__me", members("raw"))
+    rows = items.select("ingested_at", F.col("__i.raw").alias("item"), has_list.alias("__inner"), F.explode(
+        F.when(has_list, F.transform(F.filter("__l", lambda x: x["m"].isNotNull()), lambda x: x["raw"])).otherwise(F.array("__i.raw"))
+    ).alias("raw"))
 
-    mi, me = F.col("__mi"), F.col("__me")
+    i, e = F.col("item"), F.col("raw")
+    kind = first_variant(e, TYPE_KEYS)
     found = rows.select(
-        "ingested_at", "__inner", "raw", first_key(mi, MATCH_KEYS).alias("match"), first_key(me, MINUTE_KEYS).alias("minute"),
-        first_truthy(F.map_from_arrays(F.array(F.lit("k")), F.array(first_key(me, TYPE_KEYS))), ["k"]).alias("kind"),
-        first_key(me, TEAM_KEYS).alias("team"), first_key(me, PLAYER_KEYS).alias("player"), first_key(me, XG_KEYS).alias("xg"),
-        F.try_element_at(me, F.lit("score")).alias("score"),
-        F.when(F.col("__inner"), first_truthy(mi, ["score", "score_full", "full_score"])).alias("context_score"),
-        first_truthy(mi, ["home_team_id", "homeTeamId", "home_id"]).alias("home"),
-        first_truthy(mi, ["away_team_id", "awayTeamId", "away_id"]).alias("away"),
-        first_truthy(me, ["player_in_id", "playerInId"]).alias("player_in"),
-        first_truthy(me, ["player_out_id", "playerOutId"]).alias("player_out"),
-        first_truthy(me, ["lineup_home", "home_lineup"]).alias("lineup_home"),
-        first_truthy(me, ["lineup_away", "away_lineup"]).alias("lineup_away"))
-    looked = found.withColumns({"minute": typed(F.col("minute")), "xg": typed(F.col("xg")), "score": score_parts(F.col("score")),
+        "ingested_at", "__inner", "raw", first_text(i, MATCH_KEYS).alias("match"), first_variant(e, MINUTE_KEYS).alias("minute"),
+        kind.alias("kind"), first_text(e, TEAM_KEYS).alias("team"), first_text(e, PLAYER_KEYS).alias("player"),
+        first_variant(e, XG_KEYS).alias("xg"), get(e, "score").alias("score"),
+        F.when(F.col("__inner"), first_truthy(i, ["score", "score_full", "full_score"])).alias("context_score"),
+        first_truthy_text(i, ["home_team_id", "homeTeamId", "home_id"]).alias("home"),
+        first_truthy_text(i, ["away_team_id", "awayTeamId", "away_id"]).alias("away"),
+        first_truthy_text(e, ["player_in_id", "playerInId"]).alias("player_in"),
+        first_truthy_text(e, ["player_out_id", "playerOutId"]).alias("player_out"),
+        first_truthy(e, ["lineup_home", "home_lineup"]).alias("lineup_home"),
+        first_truthy(e, ["lineup_away", "away_lineup"]).alias("lineup_away"))
+    looked = found.withColumns({"minute": typed(F.col("minute")), "kind": typed(F.col("kind")), "xg": typed(F.col("xg")), "score": score_parts(F.col("score")),
                                 "context_score": score_parts(F.col("context_score"))})
     sides = looked.withColumns({"__h": whole(F.col("score.home")).try_cast("int"), "__a": whole(F.col("score.away")).try_cast("int")})
     from_context = F.col("__h").isNull() & F.col("context_score").isNotNull()
     side = lambda own, name: F.when(from_context, whole(F.col(f"context_score.{name}")).try_cast("int")).otherwise(F.col(own))
+    empty = F.col("kind.text").isin("", "0", "0.0", "false", "{}", "[]") & (
+        (F.col("kind.text") == "") | (F.col("kind.kind") != "STRING"))
     return sides.select(
-        "ingested_at", F.lit(source).alias("source"), text(F.col("match")).alias("match_id"), parse_minute(F.col("minute")).alias("minute"),
-        F.coalesce(F.lower(text(F.col("kind"))), F.lit(SNAPSHOT)).alias("event_type"), text(F.col("team")).alias("team_id"),
-        text(F.col("player")).alias("player_id"),
-        F.when(F.col("xg.kind") == "flag", (F.col("xg.text") == "true").cast("double")).otherwise(S.safe_float("xg.text")).alias("xg"),
-        side("__h", "home").alias("score_home"), side("__a", "away").alias("score_away"), text(F.col("home")).alias("home_team_id"),
-        text(F.col("away")).alias("away_team_id"), text(F.col("player_in")).alias("player_in_id"),
-        text(F.col("player_out")).alias("player_out_id"), "lineup_home", "lineup_away", "raw")
+        "ingested_at", F.lit(source).alias("source"), F.col("match").alias("match_id"), parse_minute(F.col("minute")).alias("minute"),
+        F.coalesce(F.when(~empty, F.lower("kind.text")), F.lit(SNAPSHOT)).alias("event_type"), F.col("team").alias("team_id"),
+        F.col("player").alias("player_id"),
+        F.when(F.col("xg.kind") == "BOOLEAN", (F.col("xg.text") == "true").cast("double")).otherwise(S.safe_float("xg.text")).alias("xg"),
+        side("__h", "home").alias("score_home"), side("__a", "away").alias("score_away"), F.col("home").alias("home_team_id"),
+        F.col("away").alias("away_team_id"), F.col("player_in").alias("player_in_id"), F.col("player_out").alias("player_out_id"),
+        "lineup_home", "lineup_away", "raw")
