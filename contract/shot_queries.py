@@ -252,13 +252,15 @@ for side, coef in (("kicker_team", "finishing_coefficient_team"), ("conceded_tea
     @register("team_finishing_skill" if side == "kicker_team" else "team_defence_skill", query(_cols, f"skill_{side}"))
     def team_skill(spark, d, side=side):
         shots = labelled(spark, d)
-        return rounded(finishing.team_skill(finishing.true_xg_shots(shots), shot_ops.shot_totals(shots), side))
+        pairs = finishing.team_pairs(finishing.true_xg_shots(shots))
+        return rounded(finishing.team_skill(pairs, shot_ops.shot_totals(shots), side))
 
 
 def _team_tables(spark, d):
     shots = labelled(spark, d)
-    totals, adjusted = shot_ops.shot_totals(shots), finishing.true_xg_shots(shots)
-    return adjusted, finishing.team_skill(adjusted, totals), finishing.team_skill(adjusted, totals, "conceded_team")
+    totals, rated = shot_ops.shot_totals(shots), finishing.true_xg_shots(shots)
+    pairs = finishing.team_pairs(rated)
+    return rated, finishing.team_skill(pairs, totals), finishing.team_skill(pairs, totals, "conceded_team")
 
 
 _ADJ = "(xg / (1 - xg) * {c}) / (1 + xg / (1 - xg) * {c})"
@@ -271,15 +273,14 @@ SELECT team_name, round(f, 6) AS true_xg_for, round(s, 6) AS sum_true_xg_for, ro
      FROM true_shots t JOIN skill_conceded_team k ON t.{key} = k.conceded_team GROUP BY 1) USING (team_name)""",
                    "skill_kicker_team", "skill_conceded_team"))
     def team_true_xg(spark, d, key=key):
-        return rounded(finishing.team_true_xg(*_team_tables(spark, d), defence_key=key))
+        return rounded(finishing.team_true_xg(finishing.adjusted_pairs(*_team_tables(spark, d), defence_key=key)))
 
 
 @register("team_true_xg_conceded", query(f"""
 SELECT conceded_team, round(avg({_ADJ.format(c='finishing_coefficient_team')}), 6) AS true_xg_team
 FROM true_shots JOIN skill_kicker_team USING (kicker_team) GROUP BY 1""", "skill_kicker_team"))
 def team_true_xg_conceded(spark, d):
-    adjusted, attack, _ = _team_tables(spark, d)
-    return rounded(finishing.mean_true_xg_conceded(adjusted, attack))
+    return rounded(finishing.mean_true_xg_conceded(finishing.adjusted_pairs(*_team_tables(spark, d))))
 
 
 # --- team balance, results, points ----------------------------------------------------------------------------

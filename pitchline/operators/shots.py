@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
+from pitchline.operators.common import attach_totals
 
 PLAYER = ("player_id", "player")
 
@@ -64,8 +65,9 @@ def appearances_by(appearances: DataFrame, keys: Sequence[str] = PLAYER, match:
 
 def teams(shots: DataFrame) -> DataFrame:
     """Team ids with one name each."""
-    named = shots.select(F.col("home_team_id").alias("team_id"), F.col("h_team").alias("team_name")).unionByName(
-        shots.select(F.col("away_team_id").alias("team_id"), F.col("a_team").alias("team_name")))
+    sides = F.array(F.struct(F.col("home_team_id").alias("team_id"), F.col("h_team").alias("team_name")),
+                    F.struct(F.col("away_team_id").alias("team_id"), F.col("a_team").alias("team_name")))
+    named = shots.select(F.explode(sides).alias("t")).select("t.*")
     return named.groupBy("team_id").agg(F.min("team_name").alias("team_name"))
 
 
@@ -73,8 +75,6 @@ def shares_by(shots: DataFrame, key: str, shots_share: str = "shot_proportion")
     """Share of shots and of goals per category; categories without a goal are left out."""
     counts = shots_by(shots, [key]).select(key, "total_shots", "total_goals")
     whole = counts.agg(F.sum("total_shots").alias("__s"), F.sum("total_goals").alias("__g"))
-    from pitchline.operators.common import attach_totals
-
     return attach_totals(counts.filter(F.col("total_goals") > 0), whole).select(
         key, S.rate("total_shots", "__s").alias(shots_share), S.rate("total_goals", "__g").alias("goal_proportion"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitchline.functions import scalars as S
 from pitchline.operators.common import attach_totals, exact_quantile
 from pitchline.operators.shots import PLAYER, shot_totals, shots_by
+from pitchline.session import materialize
 
 # Fixed value: the prior of the finishing coefficient is worth this many average shots.
 PRIOR_SHOTS = 100.0
@@ -19,7 +20,10 @@ def skill(shots: DataFrame, totals: DataFrame, keys=PLAYER, coefficient: str = "
 
     ``totals`` is the one-row table of ``shot_totals``. Entities without a goal are left out unless ``keep_goalless``.
     """
-    per_key = shots_by(shots, keys)
+    return _skill(shots_by(shots, keys), totals, keys, coefficient, keep_goalless)
+
+
+def _skill(per_key: DataFrame, totals: DataFrame, keys, coefficient: str, keep_goalless: bool = False) -> DataFrame:
     if not keep_goalless:
         per_key = per_key.filter(F.col("total_goals") > 0)
     prior = F.col("avg_xg") * PRIOR_SHOTS
@@ -61,35 +65,52 @@ def log_losses(adjusted: DataFrame) -> DataFrame:
         S.mean_log_loss("xg", "__y").alias("xg_log_loss"), S.mean_log_loss("true_xg", "__y").alias("true_xg_log_loss"))
 
 
-def team_skill(labelled: DataFrame, totals: DataFrame, side: str = "kicker_team") -> DataFrame:
-    """Finishing (``kicker_team``) or defence (``conceded_team``) coefficients per team."""
+TEAM_PAIR = ("kicker_team", "conceded_team")
+
+
+def team_pairs(labelled: DataFrame) -> DataFrame:
+    """Shots, goals and xG per (shooting team, defending team): one pass over the shots serves both coefficients."""
+    return materialize(shots_by(labelled, TEAM_PAIR).drop("xg_per_shot"), "team-pairs")
+
+
+def team_skill(pairs: DataFrame, totals: DataFrame, side: str = "kicker_team") -> DataFrame:
+    """Finishing (``kicker_team``) or defence (``conceded_team``) coefficients per team from ``team_pairs``."""
     name = "finishing_coefficient_team" if side == "kicker_team" else "defence_coefficient"
-    return skill(labelled, totals, [side], name)
+    per_team = pairs.groupBy(side).agg(*[F.sum(c).alias(c) for c in ("total_shots", "total_goals", "total_xg")])
+    return _skill(per_team, totals, [side], name)
 
 
-def team_true_xg(labelled: DataFrame, finishing: DataFrame, defence: DataFrame,
-                 defence_key: str = "conceded_team") -> DataFrame:
-    """Mean team-adjusted xG for and against per team.
+def adjusted_pairs(labelled: DataFrame, finishing: DataFrame, defence: DataFrame, defence_key: str = "conceded_team") -> DataFrame:
+    """Sums of finishing-adjusted and defence-adjusted xG per (shooting team, defending team), again in one pass.
 
     ``defence_key`` names the shot column the defence coefficient is looked up by; ``kicker_team`` looks it up by
-    the shooting team instead of the defending one.
+    the shooting team instead of the defending one. Shots of teams without a coefficient do not count.
     """
-    attack = adjust(labelled, finishing, ["kicker_team"], "finishing_coefficient_team", "__t").groupBy(
-        F.col("kicker_team").alias("team_name")).agg(F.avg("__t").alias("true_xg_for"), F.sum("__t").alias("sum_true_xg_for"))
-    against_key = defence.withColumnRenamed("conceded_team", defence_key)
-    against = adjust(labelled, against_key, [defence_key], "defence_coefficient", "__t").groupBy(
-        F.col("conceded_team").alias("team_name")).agg(F.avg("__t").alias("true_xg_against"))
-    return attack.join(against, "team_name")
+    both = labelled.join(finishing.select("kicker_team", "finishing_coefficient_team"), "kicker_team", "left").join(
+        defence.select(F.col("conceded_team").alias(defence_key), "defence_coefficient"), defence_key, "left")
+    adjusted = lambda c: S.from_odds(S.odds("xg") * F.col(c))
+    sums = both.withColumns({"f": adjusted("finishing_coefficient_team"), "a": adjusted("defence_coefficient")}).groupBy(*TEAM_PAIR)
+    return materialize(sums.agg(F.sum("f").alias("sum_for"), F.count("f").alias("n_for"), F.sum("a").alias("sum_against"),
+                                F.count("a").alias("n_against")), "adjusted-pairs")
+
+
+def team_true_xg(adjusted: DataFrame) -> DataFrame:
+    """Mean team-adjusted xG for and against per team, from ``adjusted_pairs``."""
+    attack = adjusted.groupBy(F.col("kicker_team").alias("team_name")).agg(
+        S.rate(F.sum("sum_for"), F.sum("n_for")).alias("true_xg_for"), F.sum("sum_for").alias("sum_true_xg_for"))
+    against = adjusted.groupBy(F.col("conceded_team").alias("team_name")).agg(
+        S.rate(F.sum("sum_against"), F.sum("n_against")).alias("true_xg_against"))
+    return attack.join(against, "team_name").dropna(subset=["true_xg_for", "true_xg_against"])
 
 
-def mean_true_xg_conceded(labelled: DataFrame, finishing: DataFrame) -> DataFrame:
-    """Mean finishing-adjusted xG faced per defending team."""
-    return adjust(labelled, finishing, ["kicker_team"], "finishing_coefficient_team", "__t").groupBy("conceded_team").agg(
-        F.avg("__t").alias("true_xg_team"))
+def mean_true_xg_conceded(adjusted: DataFrame) -> DataFrame:
+    """Mean finishing-adjusted xG faced per defending team, from ``adjusted_pairs``."""
+    return adjusted.groupBy("conceded_team").agg(S.rate(F.sum("sum_for"), F.sum("n_for")).alias("true_xg_team")).dropna()
 
 
 def with_quadrant(df: DataFrame, x: str, y: str) -> DataFrame:
     """Exact medians of two metrics on every row, and the quadrant they put the row in."""
+    df = materialize(df, "quadrants")
     lines = exact_quantile(df, x, 0.5, name=f"median_{x}")
     lines = attach_totals(lines, exact_quantile(df, y, 0.5, name=f"median_{y}"))
     side = lambda c: F.when(F.col(c) >= F.col(f"median_{c}"), "high").otherwise("low")

@@ -56,6 +56,7 @@ def compress_tails(df: DataFrame, value: str, out: str = "gpm", q: float = 0.95,
     add = (lambda d, t: d.join(t, keys, "left")) if keys else attach_totals
     moments = df.groupBy(*keys).agg(F.avg(value).alias("__mu"), F.stddev_pop(value).alias("__sd"))
     z = add(df, moments).withColumn("__z", S.rate(F.abs(F.col(value) - F.col("__mu")), "__sd"))
+    z = materialize(z, "scores")  # the quantile passes read its one column back
     scored = add(z, exact_quantile(z, "__z", q, keys, "__q"))
     beyond = F.col("__q") + S.shrink(F.col("__z") - F.col("__q"), k)
     squeezed = F.when(F.col("__z") > F.col("__q"), beyond).otherwise(F.col("__z"))
@@ -67,6 +68,6 @@ def translated_ratings(ratings: DataFrame, min_minutes: int = 900, alpha: float
                        scope: str = "global") -> tuple[DataFrame, DataFrame, DataFrame]:
     """League coefficients, translated ratings and GPM."""
     coefficients = materialize(league_coefficients(ratings, min_minutes, alpha), "coefficients")
-    translated = translate(ratings, coefficients)
+    translated = materialize(translate(ratings, coefficients), "translated")
     gpm = compress_tails(translated, "epm_translated", "gpm", q, k, ["league"] if scope == "league" else [])
     return coefficients, translated, gpm

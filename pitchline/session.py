@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.pitchline.scratch")
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pitchline-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pitchline-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables written inside the block when it ends (results must be stored by then)."""
+    mark = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > mark:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

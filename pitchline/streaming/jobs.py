@@ -10,7 +10,7 @@ from pitchline import sinks
 from pitchline.operators import feed
 from pitchline.operators.ridge import ALPHA_GRID
 from pitchline.plans.ratings import rate_from_feed
-from pitchline.session import materialize
+from pitchline.session import materialize, scratch
 from pitchline.sources.feed import of_league, split_polls
 from pitchline.streaming import state
 from pitchline.streaming.normalize import normalize
@@ -76,11 +76,11 @@ def run_live(polls: DataFrame, root: str, checkpoint: str, out: str | None = Non
              every: str | None = "600 seconds") -> StreamingQuery:
     """Live cycle as a stream of polls: sync, then recompute. ``every=None`` takes what is there and ends."""
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        landed = materialize(batch, f"poll-{batch_id}")
-        parts = split_polls(landed)
-        sync_live(root, parts["fixtures"], parts, league_id)
-        if out:
-            recompute(batch.sparkSession, root, out, league_id)
+        with scratch(batch.sparkSession):
+            parts = split_polls(materialize(batch, f"poll-{batch_id}"))
+            sync_live(root, parts["fixtures"], parts, league_id)
+            if out:
+                recompute(batch.sparkSession, root, out, league_id)
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return polls.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -60,8 +60,13 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            got = fn(spark, sf_dir).toPandas()
+            df = fn(spark, sf_dir)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            flags = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if w in plan]
+            got = df.toPandas()
             took = time.time() - start
+            if flags:
+                print(f"plan  {name}: {flags}")
             if name not in oracles:
                 print(f"rows  {name}: {len(got)} rows {took:.1f}s")
                 continue
