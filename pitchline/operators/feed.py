@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
 from pitchline.operators.stints import on_pitch, with_lineups
+from pitchline.session import materialize
 
 # Output column -> field of the feed's player statistics (the feed spells the last one this way).
 PLAYER_METRICS = {
@@ -166,16 +167,18 @@ def build_feed_stints(fixtures: DataFrame, statistics: DataFrame, events: DataFr
                       exclude_details: tuple[str, ...] = ()) -> DataFrame:
     """Stints of all fixtures from line-ups and events; xG is spread evenly over the match.
 
-    A fixture needs its ids and a starter on either side. ``game_id`` is the fixture id.
+    A fixture needs its ids and a starter on either side. ``game_id`` is the fixture id. The flat events and the match
+    ends are written once, as several steps read them.
     """
     heads = fixture_heads(fixtures).filter(F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull())
-    flat = flat_events(events)
+    flat = materialize(flat_events(events), "flat-events")
     ends = with_side_xg(feed_match_ends(heads, flat, players), expected_goals(statistics))
     start = starters(lineups)
     counts = start.join(heads.select("fixture_id", "home_team_id", "away_team_id"), "fixture_id").groupBy("fixture_id").agg(
         F.count_if(F.col("team_id") == F.col("home_team_id")).alias("h"),
         F.count_if(F.col("team_id") == F.col("away_team_id")).alias("a"))
     ends = ends.join(counts.filter((F.col("h") > 0) & (F.col("a") > 0)).select("fixture_id"), "fixture_id", "left_semi")
+    ends = materialize(ends, "feed-ends")
 
     order = Window.partitionBy("fixture_id").orderBy("minute")
     until_now = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
+from pitchline.session import materialize
 
 GAME = ("league", "season", "game_id")
 DELTAS = ("xg_home", "xg_away", "goals_home", "goals_away", "red_home", "red_away")
@@ -120,10 +121,14 @@ def with_lineups(covered: DataFrame) -> DataFrame:
 
 def build_stints(schedule: DataFrame, players: DataFrame, shots: DataFrame, min_minutes: float = 1.0,
                  game: Sequence[str] = GAME) -> DataFrame:
-    """Stints of all games from schedule, appearances and shots."""
-    by_minute = shots_by_minute(shots, game)
-    ends = match_ends(schedule, players, by_minute, game)
-    intervals = player_intervals(players, ends, game)
+    """Stints of all games from schedule, appearances and shots.
+
+    Three narrow tables are read by several later steps and are written once (each step would prune a different set
+    of columns and so scan the shots again): xG per minute, match ends and intervals. The shots are scanned once.
+    """
+    by_minute = materialize(shots_by_minute(shots, game), "by-minute")
+    ends = materialize(match_ends(schedule, players, by_minute, game), "match-ends")
+    intervals = materialize(player_intervals(players, ends, game), "intervals")
     segments = cut_stints(ends, boundary_deltas(ends, intervals, by_minute, game), min_minutes, game)
     return with_lineups(on_pitch(segments, intervals, game))
 

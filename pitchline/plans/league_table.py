@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
+from pitchline.session import materialize
 
 
 def _games(games: int | None, matches: str):
@@ -107,7 +108,9 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    data = VectorAssembler(inputCols=xs, outputCol="__x").transform(df.withColumn("__y", F.col(y).cast("double")))
+    # The solver and its summary read the data several times, so it is written once.
+    narrow = materialize(df.select(*xs, F.col(y).cast("double").alias("__y")), "regression")
+    data = VectorAssembler(inputCols=xs, outputCol="__x").transform(narrow)
     model = LinearRegression(featuresCol="__x", labelCol="__y", solver="normal").fit(data)
     s = model.summary
     names, coefs = [*xs, "intercept"], [*model.coefficients.toArray().tolist(), model.intercept]
