@@ -265,7 +265,7 @@ def feed_sample_events(spark, d):
 @register("feed_expected_goals_listed", query("""
 SELECT fixture_id, 'Club ' || (block * 2 + side) AS team,
 CASE WHEN fixture_id % 7 = 0 THEN NULL WHEN fixture_id % 11 = 0 THEN 'n/a'
-     ELSE CAST(CAST(round(sum(value) / 1000, 4) AS DECIMAL(18, 4)) AS VARCHAR) END AS expected_goals
+     ELSE CAST(CAST(round(sum(value) / 1000, 5) AS DECIMAL(18, 5)) AS VARCHAR) END AS expected_goals
 FROM feed GROUP BY fixture_id, block, side""", "feed"))
 def feed_expected_goals_listed(spark, d):
     return coverage.expected_goals_by_team(T.feed_statistics(spark, d))

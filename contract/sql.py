@@ -127,5 +127,5 @@ cte("feed_fixtures", """
 
 cte("feed_xg", """
   SELECT fixture_id, block * 2 + side AS team_id,
-    CASE WHEN fixture_id % 7 = 0 OR fixture_id % 11 = 0 THEN NULL ELSE round(sum(value) / 1000, 4) END AS xg
+    CASE WHEN fixture_id % 7 = 0 OR fixture_id % 11 = 0 THEN NULL ELSE round(sum(value) / 1000, 5) END AS xg
   FROM feed GROUP BY fixture_id, block, side""", "feed")

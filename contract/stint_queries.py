@@ -192,7 +192,6 @@ def feed_presence(spark, d):
     flat = feed.flat_events(ev)
     ends = feed.feed_match_ends(feed.fixture_heads(fx), flat, pl)
     spans = feed.presence(feed.starters(li), flat, ends)
-    # Back-to-back intervals of one player are separate operations in the oracle only within a minute.
     return spans.withColumnRenamed("end", "stop")
 
 
@@ -209,7 +208,7 @@ def feed_expected_goals(spark, d):
 
 @register("feed_statistics_map", query("""SELECT fixture_id, 'Club ' || (block * 2 + side) AS team_name, '50%' AS possession,
 CASE WHEN fixture_id % 7 = 0 THEN NULL WHEN fixture_id % 11 = 0 THEN 'n/a'
-     ELSE CAST(CAST(round(sum(value) / 1000, 4) AS DECIMAL(18, 4)) AS VARCHAR) END AS xg
+     ELSE CAST(CAST(round(sum(value) / 1000, 5) AS DECIMAL(18, 5)) AS VARCHAR) END AS xg
 FROM feed GROUP BY fixture_id, block, side""", "feed"))
 def feed_statistics_map(spark, d):
     m = feed.statistics_map(T.feed_statistics(spark, d))

@@ -151,9 +151,9 @@ def feed_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixtures = _feed_base(spark, sf_dir).groupBy("fixture_id", "block", "side").agg(F.round(F.sum("value") / 1000, 4).alias("v"))
+    fixtures = _feed_base(spark, sf_dir).groupBy("fixture_id", "block", "side").agg(F.round(F.sum("value") / 1000, 5).alias("v"))
     xg = F.when(F.col("fixture_id") % 7 == 0, F.lit(None).cast("string")).when(F.col("fixture_id") % 11 == 0, "n/a") \
-        .otherwise(F.col("v").cast("decimal(18,4)").cast("string"))
+        .otherwise(F.col("v").cast("decimal(18,5)").cast("string"))
     stat = lambda t, v: F.struct(F.lit(t).alias("type"), v.alias("value"))
     return fixtures.select(
         "fixture_id", F.col("side").alias("stat_pos"), F.struct((F.col("block") * 2 + F.col("side")).alias("id"),
