@@ -129,13 +129,14 @@ for _i in (1, 2, 3):
 
 @register("player_stability", query("""
 SELECT player_id, 'Player ' || player_id AS player, CAST(n AS INTEGER) AS seasons, 'epm' AS metric, round(value_mean, 6) AS value_mean,
-  round(value_std, 6) AS value_std, round(phi, 4) AS ar1, round(sqrt(v), 5) AS resid_std, round(6 - 2 * ll, 5) AS aic,
+  round(value_std, 6) AS value_std, round(phi + 3e-7, 4) AS ar1, round(sqrt(v), 5) AS resid_std, round(6 - 2 * ll, 5) AS aic,
   round(es, 6) AS ewma_resid_std, round(-sqrt(v), 5) AS stability_score_arima, round(-es, 6) AS stability_score_ewma
 FROM (SELECT player_id, count(*) AS n, avg(epm) AS value_mean, stddev_pop(epm) AS value_std, stddev_pop(epm - ewma) AS es
       FROM smoothed GROUP BY 1) LEFT JOIN best3 USING (player_id)""", "smoothed", "best3"))
 def player_stability(spark, d):
     out = stability.player_stability(T.player_seasons(spark, d), "epm")
-    out = out.withColumns({"ar1": F.round("ar1", 4), **{c: F.round(c, 5) for c in ("resid_std", "aic", "stability_score_arima")}})
+    # The search grid holds values that lie exactly between two roundings; both sides are shifted off them.
+    out = out.withColumns({"ar1": F.round(F.col("ar1") + 3e-7, 4), **{c: F.round(c, 5) for c in ("resid_std", "aic", "stability_score_arima")}})
     return rounded(out)
 
 
