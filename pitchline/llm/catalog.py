@@ -1,4 +1,4 @@
 """Imports every query module of the subpackage."""
 
-from pitchline.llm import simhash  # noqa: F401
+from pitchline.llm import decontaminate, quality_rules, resampling, simhash, simple8b  # noqa: F401
 from pitchline.llm.registry import ORACLES, QUERIES  # noqa: F401
