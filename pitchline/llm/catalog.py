@@ -1,4 +1,5 @@
 """Imports every query module of the subpackage."""
 
-from pitchline.llm import decontaminate, quality_rules, resampling, simhash, simple8b  # noqa: F401
+from pitchline.llm import (  # noqa: F401
+    decontaminate, licenses, line_dedup, mixing, pseudonyms, quality_rules, resampling, simhash, simple8b, substring_dedup)
 from pitchline.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -39,8 +39,8 @@ class Settings:
 def _ngrams(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and document of every unigram, bigram and echo, and each document's fold.
 
-    An echo is a word that equals the word one or two places before it; all echoes of one distance are one n-gram, as what
-    repeats itself is rarely a word that other documents repeat.
+    An echo is a word said for the fourth time at steps of one or two places; all echoes of one step are one n-gram, as
+    what repeats itself is rarely a word that other documents repeat.
 
     The fold is drawn from the smallest word hash of the document, so copies and most near copies share a fold and no
     document is judged by a model that has read its own text.
@@ -54,10 +54,11 @@ def _ngrams(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray
     if full.any():
         fold[full] = (mix(np.minimum.reduceat(h, words.first[:-1][full])) % np.uint64(FOLDS)).astype(np.int64)
     keys, owners = [h, two], [owner, owner[1:][pair]]
-    for distance in (1, 2):
-        again = (h[distance:] == h[:-distance]) & (owner[distance:] == owner[:-distance]) & (words.kinds[distance:] == WORD)
-        owners.append(owner[distance:][again])
-        keys.append(np.full(len(owners[-1]), mix(np.array([distance], np.uint64))[0]))
+    for step in (1, 2):
+        same = (h[step:] == h[:-step]) & (owner[step:] == owner[:-step]) & (words.kinds[step:] == WORD)
+        again = same[2 * step:] & same[step:-step] & same[:-2 * step]
+        owners.append(owner[3 * step:][again])
+        keys.append(np.full(len(owners[-1]), mix(np.array([step], np.uint64))[0]))
     return (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(owners), fold
 
 
