@@ -37,7 +37,6 @@ def permute(values: Column, bases: Column, tweak: Column | str, key: str, revers
     """
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
     half = F.floor(F.size(values) / 2).cast("int")
-    pairs = F.arrays_zip(values.alias("v"), bases.alias("b"))
 
     def step(state: Column, j: Column) -> Column:
         left, right = (state["r"], state["l"]) if reverse else (state["l"], state["r"])
@@ -53,7 +52,7 @@ def permute(values: Column, bases: Column, tweak: Column | str, key: str, revers
         done = F.aggregate(rounds, start, step)
         return F.transform(F.concat(done["l"], done["r"]), lambda x: x["v"])
 
-    zipped = F.transform(pairs, lambda x: F.struct(x["0"].cast("int").alias("v"), x["1"].cast("int").alias("b")))
+    zipped = F.zip_with(values, bases, lambda v, b: F.struct(v.cast("int").alias("v"), b.cast("int").alias("b")))
     return bound(zipped, run)
 
 
