@@ -10,7 +10,8 @@ from contract.sql import cte, query
 from contract.stint_queries import readable
 from pitchline.session import scratch_path
 from pitchline.sources.feed import stream_payloads
-from pitchline.streaming import jobs, state
+from pitchline import schemas
+from pitchline.streaming import jobs, state, windows
 from pitchline.streaming import normalize as N
 
 
@@ -142,3 +143,74 @@ def latest_record_per_key(spark, d):
     orders = T.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn(
         "version", F.struct("o_orderdate", "o_orderkey"))
     return state.latest(orders, "o_custkey", "version").drop("version")
+
+
+def _stage(keys, stage):
+    """Fixture records of one sync: the first without and with a league, the second in another league, the third twice."""
+    k = F.col("fixture_id")
+    rows = keys.filter({1: k % 3 != 0, 2: k % 4 == 0, 3: k % 5 == 0}[stage])
+    league = {1: F.when(k % 7 != 0, k % 5), 2: (k + 1) % 5, 3: F.lit(None)}[stage]
+    times = F.explode(F.array(*[F.lit(t) for t in {1: [1], 2: [2], 3: [4, 3]}[stage]]))
+    rows = rows.select("fixture_id", league.cast("bigint").alias("league_id"), (2020 + k % 2).cast("int").alias("season"), times.alias("t"))
+    columns = {c.strip().split(" ")[0]: c.strip().split(" ")[1] for c in schemas.STATE_FIXTURES.split(",")}
+    known = {"fixture_id": k, "league_id": F.col("league_id"), "season": F.col("season"), "status": F.concat(F.lit("s"), "t"),
+             "is_live": F.lit(False), "last_synced_at": F.timestamp_seconds("t")}
+    return rows.select(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+
+
+@register("state_after_correction", """
+SELECT fixture_id, league_id, season, 's' || t AS status FROM (SELECT *, row_number() OVER (PARTITION BY fixture_id ORDER BY t DESC) AS r FROM (
+  SELECT o_orderkey AS fixture_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 5 END AS league_id, 2020 + o_orderkey % 2 AS season, 1 AS t
+  FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_orderkey, (o_orderkey + 1) % 5, 2020 + o_orderkey % 2, 2 FROM orders WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT o_orderkey, NULL, 2020 + o_orderkey % 2, unnest([3, 4]) FROM orders WHERE o_orderkey % 5 = 0)) WHERE r = 1""")
+def state_after_correction(spark, d):
+    root = scratch_path(spark, "corrected")
+    keys = T.table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("fixture_id"))
+    for stage in (1, 2, 3):
+        state.upsert_fixtures(root, _stage(keys, stage))
+    return state.read_fixtures(spark, root).select("fixture_id", "league_id", F.col("season").cast("bigint").alias("season"), "status")
+
+
+def _event_stream(spark, d):
+    """The landed event table as a stream in which every event arrives twice, as in two polls."""
+    path, events = scratch_path(spark, "landed-events"), T.table(spark, d, "events")
+    events.write.parquet(path)
+    stream = spark.readStream.schema(events.schema).parquet(path)
+    twice = stream.withColumn("poll", F.explode(F.array(F.lit(1), F.lit(2))))
+    return twice.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.expr("user_id div 50")).alias("match_id"), "event_type",
+                        (F.col("value") / 1000).alias("xg"), "poll")
+
+
+def _drained(spark, stream, complete):
+    base = scratch_path(spark, "windows")
+    windows.to_table(stream, f"{base}/table", f"{base}/checkpoint", None, complete).awaitTermination()
+    return spark.read.parquet(f"{base}/table")
+
+
+@register("deduplicated_events", "SELECT event_id, user_id // 50 AS match_id, event_type, round(value / 1000, 6) AS xg FROM events")
+def deduplicated_events(spark, d):
+    unique = windows.deduplicated(_event_stream(spark, d), ("event_id",), "ts", "2 hours")
+    return rounded(_drained(spark, unique, False).select("event_id", "match_id", "event_type", "xg"))
+
+
+@register("windowed_xg", """
+SELECT user_id // 50 AS match_id, epoch(time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k)::BIGINT AS window_start,
+  round(sum(value / 1000), 5) AS xg, count(*) AS events FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL""")
+def windowed_xg(spark, d):
+    """Windows of an hour every half hour."""
+    once_ = _event_stream(spark, d).filter("poll = 1")
+    out = _drained(spark, windows.windowed_xg(once_, "60 minutes", "30 minutes", "ts"), True)
+    return out.select("match_id", F.unix_timestamp("window_start").alias("window_start"), (F.round("xg", 5) + 0.0).alias("xg"), "events")
+
+
+@register("session_xg", """
+SELECT match_id, floor(epoch(min(ts)))::BIGINT AS first_event, round(sum(xg), 5) AS xg, count(*) AS events FROM (
+  SELECT *, sum(new::INT) OVER (PARTITION BY match_id ORDER BY ts, event_id) AS s FROM (
+    SELECT user_id // 50 AS match_id, event_id, ts, value / 1000 AS xg,
+      coalesce(ts - lag(ts) OVER (PARTITION BY user_id // 50 ORDER BY ts, event_id) >= INTERVAL 10 MINUTE, true) AS new FROM events))
+GROUP BY match_id, s""")
+def session_xg(spark, d):
+    once_ = _event_stream(spark, d).filter("poll = 1")
+    out = _drained(spark, windows.session_xg(once_, "10 minutes", "ts"), True)
+    return out.select("match_id", F.unix_timestamp("window_start").alias("first_event"), (F.round("xg", 5) + 0.0).alias("xg"), "events")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,25 +45,38 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.pitchline.scratch")
 
 
-_WRITTEN: list[str] = []
+_OWNED: ContextVar[list[str] | None] = ContextVar("pitchline_scratch", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/pitchline-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark reaches; nothing happens if there is none."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Remove the intermediate tables written inside the block when it ends (results must be stored by then)."""
-    mark = len(_WRITTEN)
+    """Remove the intermediate tables written inside the block when it ends (results must be stored by then).
+
+    A block owns what is written inside it and nothing else: blocks may nest, and jobs that run at the same time in
+    other threads have blocks of their own. Without a block, tables stay until the shared folder is cleared.
+    """
+    token = _OWNED.set([])
     try:
         yield
     finally:
-        while len(_WRITTEN) > mark:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        owned = _OWNED.get() or []
+        _OWNED.reset(token)
+        for path in owned:
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchline import schemas
@@ -14,23 +17,57 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _by_path(df: DataFrame, suffix: str) -> DataFrame:
-    """League from the directory, season from the file name."""
-    path = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("league"),
-                     F.regexp_extract(path, rf"([^/]+)_{suffix}\.csv$", 1).alias("season"))
+def _first_lines(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
+    """(path, first line) of every file that matches; one short read per file."""
+    jvm, glob = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    store, out = glob.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for status in store.globStatus(glob) or []:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(status.getPath()), "UTF-8"))
+        try:
+            out.append((status.getPath().toString(), reader.readLine() or ""))
+        finally:
+            reader.close()
+    return out
+
+
+def read_text_tables(spark: SparkSession, pattern: str) -> DataFrame:
+    """CSV files as one table of text columns, joined by column name: files may differ in columns and in their order.
+
+    Files are grouped by their header line and each group is one scan with its own columns, checked against every
+    header. A column that a file lacks is NULL there. ``file`` holds the decoded path.
+    """
+    by_header: dict[str, list[str]] = {}
+    for path, line in _first_lines(spark, pattern):
+        by_header.setdefault(line.removeprefix("\ufeff"), []).append(path)
+    parts = []
+    for line, paths in by_header.items():
+        names = next(csv.reader([line]), [])
+        if names:
+            schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+            rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
+            parts.append(rows.select(*names, _decoded(F.col("_metadata.file_path")).alias("file")))
+    if not parts:
+        raise FileNotFoundError(f"no file with a header matches {pattern}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _decoded(path: Column) -> Column:
+    """A path as it is written; Spark's file paths are URIs, in which a plus sign means itself."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def read_league_seasons(spark: SparkSession, root: str, leagues: str = "*", seasons: str = "*") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Schedule, player rows and shots of all matching ``<league>/<season>_<table>.csv`` files; NaN becomes NULL."""
+    """Schedule, player rows and shots of all matching ``<league>/<season>_<table>.csv`` files; NaN becomes NULL.
+
+    League and season are the names of the folder and the file.
+    """
     def table(suffix: str, schema: str) -> DataFrame:
         columns = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
-        # Columns are matched by name, so files may hold more columns, in any order.
-        text = spark.read.option("header", True).option("mergeSchema", True).csv(f"{root}/{leagues}/{seasons}_{suffix}.csv")
-        named = _by_path(text, suffix)
+        text = read_text_tables(spark, f"{root}/{leagues}/{seasons}_{suffix}.csv")
         number = lambda c, t: F.nullif(F.col(c).try_cast("double"), F.lit(float("nan"))).try_cast(t) if t != "string" else F.col(c)
-        return named.select("league", "season", *[number(c, t).alias(c) if c in text.columns else F.lit(None).cast(t).alias(c)
-                                                  for c, t in columns.items()])
+        return text.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("league"),
+                           F.regexp_extract("file", rf"([^/]+)_{suffix}\.csv$", 1).alias("season"),
+                           *[number(c, t).alias(c) if c in text.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
     return (table("schedule", schemas.SCHEDULE), table("player_match_stats", schemas.PLAYER_MATCH), table("shot_events", schemas.SHOT_EVENTS))
 
 
@@ -78,7 +115,7 @@ def require_columns(df: DataFrame, columns: set[str], what: str) -> DataFrame:
 
 def _read_ratings(spark: SparkSession, pattern: str) -> DataFrame:
     """Rating files by column name; ids and figures typed, season kept as text."""
-    text = spark.read.option("header", True).option("mergeSchema", True).csv(pattern)
+    text = read_text_tables(spark, pattern).drop("file")
     numeric = [c for c in text.columns if c not in ("player", "position", "league", "season", "player_id")]
     typed = text.withColumns({c: F.col(c).try_cast("double") for c in numeric})
     return typed.withColumn("player_id", F.col("player_id").try_cast("bigint")) if "player_id" in text.columns else typed

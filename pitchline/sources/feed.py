@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitchline import schemas
 from pitchline.functions import scalars as S
 from pitchline.operators.common import attach_totals
+from pitchline.session import materialize
 
 POSITION = {"events": "event_pos", "lineups": "lineup_pos", "players": "block_pos", "statistics": "stat_pos"}
 
@@ -28,6 +29,14 @@ def read_endpoint(spark: SparkSession, pattern: str, endpoint: str) -> DataFrame
         "fixture_id", F.col(POSITION[endpoint]).cast("bigint").alias(POSITION[endpoint]), "r.*")
 
 
+def read_delivered_players(spark: SparkSession, pattern: str) -> DataFrame:
+    """The player lists as the feed sends them: ``fixture_id``, ``block_pos`` and ``players``, a VARIANT with every name in it."""
+    docs = spark.read.option("singleVariantColumn", "d").option("multiLine", True).json(pattern)
+    blocks = F.posexplode(F.try_variant_get("d", "$.response", "array<variant>")).alias("block_pos", "b")
+    rows = docs.select(F.try_variant_get("d", "$.fixture", "bigint").alias("fixture_id"), blocks)
+    return rows.select("fixture_id", F.col("block_pos").cast("bigint").alias("block_pos"), F.try_variant_get("b", "$.players", "variant").alias("players"))
+
+
 def read_bundles(spark: SparkSession, root: str, with_players: bool = True) -> dict[str, DataFrame]:
     """The per-fixture lists of all fixtures, each in one scan of its folder; the live form has no player list."""
     names = [n for n in schemas.ENDPOINTS if with_players or n != "players"]
@@ -63,7 +72,7 @@ def split_polls(polls: DataFrame) -> dict[str, DataFrame]:
     listed = listed.withColumn("fixture_id", S.safe_int("b.fixture.id")).filter(F.col("fixture_id").isNotNull())
     latest = listed.groupBy("fixture_id").agg(F.max_by("b", "polled_at").alias("b"), F.max("polled_at").alias("polled_at"))
     last_poll = polls.agg(F.max("polled_at").alias("last_poll"))
-    latest = attach_totals(latest, last_poll).withColumn("is_live", F.col("polled_at") == F.col("last_poll"))
+    latest = materialize(attach_totals(latest, last_poll).withColumn("is_live", F.col("polled_at") == F.col("last_poll")), "latest")
     parts = {"fixtures": latest.select("b.fixture", "b.teams", "b.goals", "b.league", "is_live")}
     for name, position in POSITION.items():
         rows = latest.select("fixture_id", F.posexplode(f"b.{name}").alias(position, "r"))

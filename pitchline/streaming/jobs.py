@@ -54,7 +54,7 @@ def sync_live(root: str, fixtures: DataFrame, parts: dict[str, DataFrame], leagu
 def current_ratings(spark: SparkSession, root: str, league_id: int | None = None, season: int | None = None, min_minutes: int = 300,
                     alphas=ALPHA_GRID) -> DataFrame:
     """Ratings from the stored state, per league and season; optionally of one of them."""
-    stints, rows = state.read_stints(spark, root), state.read_player_rows(spark, root)
+    stints, rows = state.stored_stints(spark, root), state.read_player_rows(spark, root)
     for column, wanted in (("league_id", league_id), ("season", season)):
         if wanted is not None:
             stints, rows = stints.filter(F.col(column) == wanted), rows.filter(F.col(column) == wanted)
@@ -73,8 +73,15 @@ def recompute(spark: SparkSession, root: str, out: str, league_id: int | None =
 
 
 def run_live(polls: DataFrame, root: str, checkpoint: str, out: str | None = None, league_id: int | None = None,
-             every: str | None = "600 seconds") -> StreamingQuery:
-    """Live cycle as a stream of polls: sync, then recompute. ``every=None`` takes what is there and ends."""
+             every: str | None = "600 seconds", backfill_first: tuple[DataFrame, dict[str, DataFrame]] | None = None) -> StreamingQuery:
+    """Live cycle as a stream of polls: sync, then recompute. ``every=None`` takes what is there and ends.
+
+    ``backfill_first`` (fixtures of a season and their lists) stores its finished fixtures before the first cycle.
+    """
+    if backfill_first is not None:
+        with scratch(polls.sparkSession):
+            sync_finished(root, *backfill_first)
+
     def cycle(batch: DataFrame, batch_id: int) -> None:
         with scratch(batch.sparkSession):
             parts = split_polls(materialize(batch, f"poll-{batch_id}"))
@@ -88,11 +95,17 @@ def run_live(polls: DataFrame, root: str, checkpoint: str, out: str | None = Non
 
 def publish(payloads: DataFrame, raw_path: str, event_path: str, checkpoint: str, every: str | None = "10 seconds",
             source: str = "live-feed") -> StreamingQuery:
-    """Raw payloads and the events in them to two JSON-lines folders, one folder per batch, so a replay overwrites itself."""
+    """Raw payloads and the events in them to two JSON-lines folders, one folder per batch, so a replay overwrites itself.
+
+    The batch is read from its source once and held for the second folder.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.filter(F.col("value").isNotNull() & (F.trim("value") != ""))
-        kept.select("value").write.mode("overwrite").text(f"{raw_path}/batch={batch_id}")
-        normalize(kept, source=source).write.mode("overwrite").json(f"{event_path}/batch={batch_id}")
+        kept = batch.filter(F.col("value").isNotNull() & (F.trim("value") != "")).persist()
+        try:
+            kept.select("value").write.mode("overwrite").text(f"{raw_path}/batch={batch_id}")
+            normalize(kept, source=source).write.mode("overwrite").json(f"{event_path}/batch={batch_id}")
+        finally:
+            kept.unpersist()
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pitchline.functions import scalars as S
 
 # Candidate names per field, first non-null one wins.
-MATCH_KEYS = "match_id matchId matchID game_id gameId fixture_id fixtureId id".split()
-TEAM_KEYS = "team_id teamId team teamID club_id clubId".split()
-PLAYER_KEYS = "player_id playerId player playerID".split()
-TYPE_KEYS = "event_type eventType type event action".split()
-MINUTE_KEYS = "minute time timer elapsed clock".split()
-XG_KEYS = "xg expected_goals expectedGoals xG".split()
-LIST_KEYS = "matches fixtures events live result data response".split()
+MATCH_KEYS = ("match_id", "matchId", "matchID", "game_id", "gameId", "fixture_id", "fixtureId", "id")
+TEAM_KEYS = ("team_id", "teamId", "team", "teamID", "club_id", "clubId")
+PLAYER_KEYS = ("player_id", "playerId", "player", "playerID")
+TYPE_KEYS = ("event_type", "eventType", "type", "event", "action")
+MINUTE_KEYS = ("minute", "time", "timer", "elapsed", "clock")
+XG_KEYS = ("xg", "expected_goals", "expectedGoals", "xG")
+LIST_KEYS = ("matches", "fixtures", "events", "live", "result", "data", "response")
 SNAPSHOT = "match_snapshot"
 
 
@@ -41,33 +41,36 @@ def is_number(t: Column) -> Column:
     return t["kind"].isin("BIGINT", "DOUBLE", "FLOAT") | t["kind"].startswith("DECIMAL")
 
 
-def get(v: Column, key: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, f"$.{key}", kind)
+def filled(v: Column | str) -> Column:
+    """The members of an object that aren't JSON null: read once, then every name is a look-up in a small map."""
+    return F.map_filter(members(v), lambda _, x: ~F.is_variant_null(x))
 
 
-def first_text(v: Column, keys: list[str]) -> Column:
-    """Text of the first candidate name that is present and not null."""
-    return F.coalesce(*[get(v, k, "string") for k in keys])
+def get(m: Column, key: str) -> Column:
+    return F.try_element_at(m, F.lit(key))
 
 
-def first_variant(v: Column, keys: list[str]) -> Column:
-    """The same, keeping the type; a JSON null is not SQL NULL and has to be passed over explicitly."""
-    return F.coalesce(*[F.when(~F.is_variant_null(get(v, k)), get(v, k)) for k in keys])
+def first(m: Column, keys) -> Column:
+    """Member under the first candidate name that is present and not null, as a variant."""
+    return F.coalesce(*[get(m, k) for k in keys])
 
 
-def truthy(v: Column, key: str, out: Column) -> Column:
-    """``out`` unless the member is null, empty text, zero, false or an empty container."""
-    t = get(v, key, "string")
-    falsy = (t == "") | (t.isin("0", "0.0", "-0.0", "false", "{}", "[]") & (F.schema_of_variant(get(v, key)) != "STRING"))
-    return F.when(t.isNotNull() & ~falsy, out)
+def first_text(m: Column, keys) -> Column:
+    return text(first(m, keys))
 
 
-def first_truthy_text(v: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[truthy(v, k, get(v, k, "string")) for k in keys])
+def first_truthy(m: Column, keys) -> Column:
+    """The first candidate that is no empty text, zero, false or empty container."""
+    def kept(x: Column) -> Column:
+        t = text(x)
+        falsy = (t == "") | (t.isin("0", "0.0", "-0.0", "false", "{}", "[]") & (F.schema_of_variant(x) != "STRING"))
+        return F.when(t.isNotNull() & ~falsy, x)
 
+    return F.coalesce(*[kept(get(m, k)) for k in keys])
 
-def first_truthy(v: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[truthy(v, k, get(v, k)) for k in keys])
+
+def first_truthy_text(m: Column, keys) -> Column:
+    return text(first_truthy(m, keys))
 
 
 def whole(t: Column) -> Column:
@@ -87,9 +90,9 @@ def parse_minute(t: Column) -> Column:
 
 def score_parts(score: Column) -> Column:
     """Home and away figures of an object with either spelling, or the two sides of ``home-away`` text, still typed."""
-    words = text(score)
-    filled = lambda k: F.when(get(score, k, "string") != "", get(score, k))
-    side = lambda name: typed(F.coalesce(*[filled(k) for k in (name, f"{name}_score", f"{name}Score")]))
+    words, parts = text(score), filled(score)
+    visible = lambda k: F.when(text(get(parts, k)) != "", get(parts, k))
+    side = lambda name: typed(F.coalesce(*[visible(k) for k in (name, f"{name}_score", f"{name}Score")]))
     worded = lambda part: F.struct(F.lit("STRING").alias("kind"), part.alias("text"), F.lit(None).cast("double").alias("number"))
     left = F.substring_index(words, "-", 1)
     split = F.struct(worded(left).alias("home"), worded(F.substr(words, F.length(left) + 2)).alias("away"))
@@ -113,7 +116,7 @@ def explode_items(parsed: DataFrame, repeat_known_keys: bool = False) -> DataFra
     base = base.withColumn("__m", members("__b"))
     found = lists(F.col("__m"))
     if repeat_known_keys:
-        found = F.concat(lists(F.map_filter("__m", lambda k, _: k.isin(LIST_KEYS))), found)
+        found = F.concat(lists(F.map_filter("__m", lambda k, _: k.isin(*LIST_KEYS))), found)
     found = F.when(F.col("__m").isNotNull(), found).otherwise(F.array(as_list(F.col("__b"))))
     return base.select("ingested_at", F.explode(F.flatten(F.filter(found, objects_only))).alias("__i"))
 
@@ -122,30 +125,31 @@ def normalize(payloads: DataFrame, value: str = "value", source: str = "live-fee
               repeat_known_keys: bool = False) -> DataFrame:
     """Flat live events from a column of JSON payload text; unreadable payloads give no rows.
 
-    The steps are separate projections so that every path is looked up once per row.
+    The steps are separate projections: members are read into a map once per object, and every path is looked up once.
     """
     when = S.utc_now_second() if ingested_at is None else ingested_at
     parsed = payloads.select(when.alias("ingested_at"), F.try_parse_json(F.col(value).cast("string")).alias("__p"))
-    items = explode_items(parsed, repeat_known_keys).withColumn(
-        "__l", objects(F.try_variant_get(F.try_element_at("__i.m", F.lit("events")), "$", "array<variant>")))
+    items = explode_items(parsed, repeat_known_keys).select(
+        "ingested_at", "__i", filled(F.col("__i.raw")).alias("im"),
+        objects(F.try_variant_get(F.try_element_at("__i.m", F.lit("events")), "$", "array<variant>")).alias("__l"))
     has_list = F.coalesce(F.size("__l"), F.lit(0)) > 0
-    rows = items.select("ingested_at", F.col("__i.raw").alias("item"), has_list.alias("__inner"), F.explode(
+    rows = items.select("ingested_at", "im", has_list.alias("__inner"), F.explode(
         F.when(has_list, F.transform(F.filter("__l", lambda x: x["m"].isNotNull()), lambda x: x["raw"])).otherwise(F.array("__i.raw"))
     ).alias("raw"))
+    rows = rows.withColumn("em", F.when(F.col("__inner"), filled(F.col("raw"))).otherwise(F.col("im")))
 
-    i, e = F.col("item"), F.col("raw")
-    kind = first_variant(e, TYPE_KEYS)
+    i, e = F.col("im"), F.col("em")
     found = rows.select(
-        "ingested_at", "__inner", "raw", first_text(i, MATCH_KEYS).alias("match"), first_variant(e, MINUTE_KEYS).alias("minute"),
-        kind.alias("kind"), first_text(e, TEAM_KEYS).alias("team"), first_text(e, PLAYER_KEYS).alias("player"),
-        first_variant(e, XG_KEYS).alias("xg"), get(e, "score").alias("score"),
-        F.when(F.col("__inner"), first_truthy(i, ["score", "score_full", "full_score"])).alias("context_score"),
-        first_truthy_text(i, ["home_team_id", "homeTeamId", "home_id"]).alias("home"),
-        first_truthy_text(i, ["away_team_id", "awayTeamId", "away_id"]).alias("away"),
-        first_truthy_text(e, ["player_in_id", "playerInId"]).alias("player_in"),
-        first_truthy_text(e, ["player_out_id", "playerOutId"]).alias("player_out"),
-        first_truthy(e, ["lineup_home", "home_lineup"]).alias("lineup_home"),
-        first_truthy(e, ["lineup_away", "away_lineup"]).alias("lineup_away"))
+        "ingested_at", "__inner", "raw", first_text(i, MATCH_KEYS).alias("match"), first(e, MINUTE_KEYS).alias("minute"),
+        first(e, TYPE_KEYS).alias("kind"), first_text(e, TEAM_KEYS).alias("team"), first_text(e, PLAYER_KEYS).alias("player"),
+        first(e, XG_KEYS).alias("xg"), get(e, "score").alias("score"),
+        F.when(F.col("__inner"), first_truthy(i, ("score", "score_full", "full_score"))).alias("context_score"),
+        first_truthy_text(i, ("home_team_id", "homeTeamId", "home_id")).alias("home"),
+        first_truthy_text(i, ("away_team_id", "awayTeamId", "away_id")).alias("away"),
+        first_truthy_text(e, ("player_in_id", "playerInId")).alias("player_in"),
+        first_truthy_text(e, ("player_out_id", "playerOutId")).alias("player_out"),
+        first_truthy(e, ("lineup_home", "home_lineup")).alias("lineup_home"),
+        first_truthy(e, ("lineup_away", "away_lineup")).alias("lineup_away"))
     looked = found.withColumns({"minute": typed(F.col("minute")), "kind": typed(F.col("kind")), "xg": typed(F.col("xg")), "score": score_parts(F.col("score")),
                                 "context_score": score_parts(F.col("context_score"))})
     sides = looked.withColumns({"__h": whole(F.col("score.home")).try_cast("int"), "__a": whole(F.col("score.away")).try_cast("int")})

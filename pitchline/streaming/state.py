@@ -1,48 +1,129 @@
-"""Keyed state as Parquet tables partitioned by (league_id, season).
+"""Keyed state as Parquet tables partitioned by (league_id, season), one version of a partition at a time.
 
-A change rewrites only the partitions it touches: old rows of untouched fixtures are kept, rows of touched fixtures are
-replaced. Replaying a batch gives the same state. Every touched fixture leaves a marker row (no stint or player id), so
-that a fixture whose rows were all cleared still rewrites its partition; readers skip markers. A fixture belongs to one
-league and season for good.
+A change rewrites only the partitions it touches: those of the new rows and those where the changed fixtures lie now, so a
+fixture whose league or season is corrected moves and leaves nothing behind, and rows without a league or season are kept
+like any other. Rewritten partitions go to a new ``version=`` folder; which folder holds which partition is said by the
+last file in ``_current``, written and then renamed as the last step. A writer that fails before that leaves the
+old state in force, and readers never see half of a change. One writer at a time: a second one fails at the rename.
+
+Replaying a batch gives the same state. Every touched fixture leaves a marker row (no stint or player id), so that a fixture whose
+rows were all cleared is known; readers skip markers.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchline import schemas
 from pitchline.operators.feed import PLAYER_METRICS
 from pitchline.operators.stints import with_stint_index
+from pitchline.session import materialize, remove
 
 PARTITION = ["league_id", "season"]
+_NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _store(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[str]:
+    store, place = _store(spark, pattern)
+    return [status.getPath().toString() for status in store.globStatus(place) or []]
+
+
+def _current(spark: SparkSession, root: str, table: str) -> tuple[int, list[str]]:
+    """Number of the last committed change and the partition folders (relative to the table) in force."""
+    listed = sorted(_glob(spark, f"{root}/{table}/_current/change-*"))
+    if not listed:
+        return 0, []
+    store, place = _store(spark, listed[-1])
+    jvm = spark._jvm
+    reader, lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(place), "UTF-8")), []
+    try:
+        while (line := reader.readLine()) is not None:
+            lines.append(line)
+    finally:
+        reader.close()
+    return int(listed[-1].rsplit("-", 1)[1]), lines
+
+
+def _commit(spark: SparkSession, root: str, table: str, number: int, folders: list[str]) -> None:
+    target = f"{root}/{table}/_current/change-{number:012d}"
+    store, temporary = _store(spark, f"{root}/{table}/_current/.new-{uuid.uuid4().hex}")
+    out = store.create(temporary, True)
+    try:
+        out.write(bytearray("".join(f"{x}\n" for x in sorted(folders)), "utf-8"))
+    finally:
+        out.close()
+    place = _store(spark, target)[1]
+    if store.exists(place) or not store.rename(temporary, place):
+        raise RuntimeError(f"another writer changed {root}/{table}")
+
+
+def _partition(folder: str) -> str:
+    return folder.split("/", 1)[1]
+
+
+def _load(spark: SparkSession, root: str, table: str, schema: str, folders: list[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*[f"{root}/{table}/{x}" for x in folders])
+    return rows.select(*spark.createDataFrame([], schema).columns)
 
 
 def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
-    path = f"{root}/{table}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    return _load(spark, root, table, schema, _current(spark, root, table)[1])
 
 
-def _rewrite(rows: DataFrame, root: str, table: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(f"{root}/{table}")
+def _swap(spark: SparkSession, root: str, table: str, partitions: set[str], rows: DataFrame) -> None:
+    """Put ``rows`` in the place of all that the ``partitions`` held."""
+    number, folders = _current(spark, root, table)
+    version = f"version={uuid.uuid4().hex}"
+    rows.write.partitionBy(*PARTITION).parquet(f"{root}/{table}/{version}")
+    new = [version + path.rsplit(version, 1)[1] for path in _glob(spark, f"{root}/{table}/{version}/league_id=*/season=*")]
+    _commit(spark, root, table, number + 1, [x for x in folders if _partition(x) not in partitions] + new)
+
+
+def _names(keys: DataFrame) -> set[str]:
+    """Folder names of the leagues and seasons in ``keys``: as many rows as there are partitions to rewrite."""
+    show = lambda v: _NULL if v is None else str(v)
+    return {f"league_id={show(r.league_id)}/season={show(r.season)}" for r in keys.select(*PARTITION).distinct().toLocalIterator()}
 
 
 def _replace(spark: SparkSession, root: str, table: str, schema: str, touched: DataFrame, new: DataFrame) -> None:
-    """Replace all rows of the ``touched`` fixtures (fixture_id, league_id, season) by ``new``."""
-    old = _read(spark, root, table, schema)
-    partitions = touched.select(*PARTITION).distinct()
-    kept = old.join(partitions, PARTITION, "left_semi").join(touched.select("fixture_id"), "fixture_id", "left_anti")
+    """Replace all rows of the ``touched`` fixtures (fixture_id, league_id, season), wherever they lie, by ``new``."""
     columns = spark.createDataFrame([], schema).schema
+    touched = materialize(touched.select("fixture_id", *PARTITION).distinct(), "touched")
+    folders = _current(spark, root, table)[1]
+    stored = _load(spark, root, table, schema, folders)
+    ids = touched.select("fixture_id").distinct()
+    partitions = _names(touched) | _names(stored.join(ids, "fixture_id", "left_semi"))
+    kept = _load(spark, root, table, schema, [x for x in folders if _partition(x) in partitions]).join(ids, "fixture_id", "left_anti")
     shaped = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
-    _rewrite(kept.select(*columns.names).unionByName(shaped), root, table)
+    _swap(spark, root, table, partitions, kept.select(*columns.names).unionByName(shaped))
+
+
+def expire(spark: SparkSession, root: str, table: str) -> None:
+    """Delete folders and change files that are no longer in force. Not while readers of an older change are at work."""
+    number, folders = _current(spark, root, table)
+    used = {x.split("/", 1)[0] for x in folders}
+    for path in _glob(spark, f"{root}/{table}/version=*"):
+        if path.rsplit("/", 1)[1] not in used:
+            remove(spark, path)
+    for path in _glob(spark, f"{root}/{table}/_current/change-*"):
+        if int(path.rsplit("-", 1)[1]) < number:
+            remove(spark, path)
 
 
 def latest(records: DataFrame, key: str = "fixture_id", order: str = "last_synced_at") -> DataFrame:
-    """The latest record of every key."""
-    return records.groupBy(key).agg(F.max_by(F.struct(*records.columns), order).alias("r")).select("r.*")
+    """The latest record of every key; of several with the same time the one with the largest values, column by column."""
+    last = F.max_by(F.struct(*records.columns), F.struct(order, *[c for c in records.columns if c != order]))
+    return records.groupBy(key).agg(last.alias("r")).select("r.*")
 
 
 def upsert_fixtures(root: str, records: DataFrame) -> None:
@@ -78,27 +159,35 @@ def mark_not_live(root: str, live: DataFrame, league_id: int | None = None) -> N
     Only partitions that still hold a wrongly flagged fixture are rewritten.
     """
     spark = live.sparkSession
-    stored = _read(spark, root, "fixtures", schemas.STATE_FIXTURES)
+    folders = _current(spark, root, "fixtures")[1]
+    stored = _load(spark, root, "fixtures", schemas.STATE_FIXTURES, folders)
     gone = stored.filter("is_live")
     if league_id is not None:
         gone = gone.filter(F.col("league_id") == league_id)
     gone = gone.join(live.select("fixture_id").distinct(), "fixture_id", "left_anti")
-    touched = gone.select(*PARTITION).distinct()
-    flagged = gone.select("fixture_id", F.lit(True).alias("__gone"))
-    rows = stored.join(touched, PARTITION, "left_semi").join(flagged, "fixture_id", "left")
-    cleared = rows.withColumn("is_live", F.when(F.col("__gone"), F.lit(False)).otherwise(F.col("is_live")))
-    _rewrite(cleared.select(*stored.columns), root, "fixtures")
+    gone = materialize(gone.select("fixture_id", *PARTITION), "ended")
+    partitions = _names(gone)
+    if not partitions:
+        return
+    rows = _load(spark, root, "fixtures", schemas.STATE_FIXTURES, [x for x in folders if _partition(x) in partitions])
+    flagged = gone.select("fixture_id", F.lit(True).alias("__gone")).distinct()
+    cleared = rows.join(flagged, "fixture_id", "left").withColumn("is_live", F.when(F.col("__gone"), F.lit(False)).otherwise(F.col("is_live")))
+    _swap(spark, root, "fixtures", partitions, cleared.select(*stored.columns))
 
 
 def read_fixtures(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, "fixtures", schemas.STATE_FIXTURES).orderBy(F.col("date").asc_nulls_first(), "fixture_id")
 
 
-def read_stints(spark: SparkSession, root: str) -> DataFrame:
-    """Stored stints in the form the ratings take, ordered by fixture and index."""
+def stored_stints(spark: SparkSession, root: str) -> DataFrame:
+    """Stored stints in the form the ratings take, in no order."""
     rows = _read(spark, root, "stints", schemas.STATE_STINTS).filter(F.col("stint_index").isNotNull())
-    return rows.orderBy("fixture_id", "stint_index").withColumnsRenamed(
-        {"fixture_id": "game_id", "start_minute": "start", "end_minute": "end"}).drop("is_live")
+    return rows.withColumnsRenamed({"fixture_id": "game_id", "start_minute": "start", "end_minute": "end"}).drop("is_live")
+
+
+def read_stints(spark: SparkSession, root: str) -> DataFrame:
+    """``stored_stints`` ordered by fixture and index, for reports."""
+    return stored_stints(spark, root).orderBy("game_id", "stint_index")
 
 
 def read_player_rows(spark: SparkSession, root: str) -> DataFrame:
