@@ -174,6 +174,41 @@ def feed_player_ratings(spark, d):
     return rated.select("league_id", "season", "player_id", "player", "position", "minutes", *ratings.RATINGS, "rapm_intercept")
 
 
+cte("eligible", f"""SELECT league, season FROM season_totals WHERE minutes >= 1000 GROUP BY ALL HAVING count(*) >= 2""", "season_totals")
+
+
+@register("rating_gradients", query(f"""
+SELECT league, season, model, feature, 0.0::DOUBLE AS gradient FROM (
+  SELECT DISTINCT league, season, 'rapm' AS model, feature FROM design
+  UNION ALL SELECT DISTINCT league, season, 'bpm', feature FROM design WHERE feature >= 0
+  UNION ALL SELECT DISTINCT league, season, unnest(['rapm', 'bpm']), -4 FROM design
+  UNION ALL SELECT league, season, 'spm', unnest(list_concat(range({len(seasons.TABLE_METRICS)}), [-4])) FROM eligible)""", "design", "eligible"))
+def rating_gradients(spark, d):
+    """At the fitted coefficients the three objectives are at their minimum: each slope is 0, taken from the rows themselves."""
+    run = ratings.rating_run(all_stints(spark, d), T.appearances(spark, d))
+    slopes = ratings.optimality(run).filter("feature < 0 or model = 'spm' or gradient is not null")
+    feature = F.when(F.col("feature") == ridge.INTERCEPT, -4).otherwise(short_code("feature"))
+    return slopes.select("league", "season", "model", feature.alias("feature"), (F.round("gradient", 3) + 0.0).alias("gradient"))
+
+
+cte("on_pitch", """SELECT DISTINCT league, season, feature AS player_id FROM design WHERE feature >= 0""", "design")
+
+
+@register("rating_rows", query("""
+SELECT league, season, player_id, player, position, minutes, o.player_id IS NULL AS without_stint, 0.0::DOUBLE AS epm_less_parts
+FROM season_totals LEFT JOIN (SELECT *, player_id AS p FROM on_pitch) o USING (league, season, player_id)""".replace(
+    "o.player_id IS NULL", "o.p IS NULL"), "season_totals", "on_pitch"))
+def rating_rows(spark, d):
+    """Everyone in the player table is rated; without a stint rapm and bpm are 0; epm is the sum of its parts."""
+    run = ratings.rating_run(all_stints(spark, d), T.appearances(spark, d))
+    listed = run.rapm.ridge.coefficients.select("league", "season", F.col("feature").alias("player_id"), F.lit(True).alias("fitted"))
+    rated = run.rated.join(listed, ["league", "season", "player_id"], "left")
+    bad = F.col("fitted").isNull() & ((F.col("rapm") != 0) | (F.col("bpm") != 0))
+    parts = F.round(F.col("epm") - F.col("spm") - F.col("bpm") + F.when(bad, 1.0).otherwise(0.0), 9) + 0.0
+    return rated.select("league", "season", "player_id", "player", "position", "minutes", F.col("fitted").isNull().alias("without_stint"),
+                        parts.alias("epm_less_parts"))
+
+
 def _box_ratings(spark, d):
     """Ratings with a closed form, to compare what follows the fits."""
     stats = seasons.season_totals(T.appearances(spark, d))

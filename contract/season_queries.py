@@ -201,8 +201,7 @@ def _league_fixtures(spark, d):
     joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(F.col("c_nationkey").alias("league_id"), F.year("o_orderdate").alias("season"),
                          F.concat(F.lit("Regular Season - "), F.col("o_orderkey") % 38).alias("round"),
-                         F.col("o_orderkey").alias("fixture_id"), F.col("o_orderkey").alias("position")
-                         ).filter(F.col("season") <= 2001 - F.col("league_id") % 5)
+                         F.col("o_orderkey").alias("fixture_id"), F.col("o_orderkey").alias("position"))
 
 
 cte("cur", """SELECT n_nationkey AS league_id, n_name AS league_name, n_name AS country,
@@ -210,7 +209,7 @@ cte("cur", """SELECT n_nationkey AS league_id, n_name AS league_name, n_name AS
 cte("picked", """SELECT league_id, season AS season_used, fixture_id FROM (SELECT league_id, year(o_orderdate) AS season,
     o_orderkey AS fixture_id, row_number() OVER (PARTITION BY league_id ORDER BY year(o_orderdate) DESC, o_orderkey) AS r
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN cur ON league_id = c_nationkey
-  WHERE o_orderkey % 38 = 1 AND year(o_orderdate) <= 2001 - league_id % 5
+  WHERE o_orderkey % 38 = 1
     AND year(o_orderdate) BETWEEN current_season - 3 AND current_season) WHERE r = 1""", "cur")
 
 
@@ -274,8 +273,9 @@ def feed_expected_goals_listed(spark, d):
 
 @register("feed_stat_fields", query("""
 SELECT fixture_id, CASE WHEN arg_min(e, (side, user_id)) % 23 = 0 THEN ''
-  ELSE 'cards,dribbles,duels,fouls,games,goals,passes,penalty,shots,tackles' END AS fields
+  ELSE 'cards,dribbles,duels,extra,fouls,games,goals,passes,penalty,rating,shots,tackles' END AS fields
 FROM (SELECT fixture_id, side, user_id, min(event_id) AS e FROM feed GROUP BY ALL) GROUP BY 1""", "feed"))
 def feed_stat_fields(spark, d):
-    return coverage.stat_fields(T.feed_players(spark, d)).select(
+    sent = F.replace(F.to_json("players"), F.lit('"games":'), F.lit('"rating":null,"extra":{"a":1},"games":'))
+    return coverage.stat_fields(T.feed_players(spark, d).withColumn("players", F.parse_json(sent))).select(
         "fixture_id", F.array_join("player_stat_fields", ",").alias("fields"))

@@ -199,7 +199,7 @@ SELECT player_id, player, total_shots, total_goals, round(total_xg, 6) AS total_
   round(finishing_coefficient, 6) AS finishing_coefficient FROM player_skill""", "player_skill"))
 def player_finishing_skill(spark, d):
     s = T.shots(spark, d)
-    return rounded(finishing.skill(s, shot_ops.shot_totals(s)))
+    return rounded(finishing.skill(shot_ops.counts_by(s)))
 
 
 @register("player_true_xg", query("""
@@ -224,7 +224,7 @@ SELECT round(regr_slope(total_goals, finishing_coefficient), 6) AS slope,
   count(*) AS n FROM player_skill""", "player_skill"))
 def finishing_vs_goals_fit(spark, d):
     s = T.shots(spark, d)
-    return rounded(finishing.linear_fit(finishing.skill(s, shot_ops.shot_totals(s)), "finishing_coefficient", "total_goals"))
+    return rounded(finishing.linear_fit(finishing.skill(shot_ops.counts_by(s)), "finishing_coefficient", "total_goals"))
 
 
 @register("true_xg_vs_goals_fit", query("""
@@ -252,13 +252,15 @@ for side, coef in (("kicker_team", "finishing_coefficient_team"), ("conceded_tea
     @register("team_finishing_skill" if side == "kicker_team" else "team_defence_skill", query(_cols, f"skill_{side}"))
     def team_skill(spark, d, side=side):
         shots = labelled(spark, d)
-        pairs = finishing.team_pairs(finishing.true_xg_shots(shots))
-        return rounded(finishing.team_skill(pairs, shot_ops.shot_totals(shots), side))
+        counts = shot_ops.counts_by(shots)
+        pairs = finishing.team_pairs(finishing.true_xg_shots(shots, counts))
+        return rounded(finishing.team_skill(pairs, shot_ops.totals_of(counts), side))
 
 
 def _team_tables(spark, d):
     shots = labelled(spark, d)
-    totals, rated = shot_ops.shot_totals(shots), finishing.true_xg_shots(shots)
+    counts = shot_ops.counts_by(shots)
+    totals, rated = shot_ops.totals_of(counts), finishing.true_xg_shots(shots, counts)
     pairs = finishing.team_pairs(rated)
     return rated, finishing.team_skill(pairs, totals), finishing.team_skill(pairs, totals, "conceded_team")
 

@@ -129,9 +129,9 @@ def utc_now_second() -> Column:
 
 # Club words that do not identify a club.
 CLUB_WORDS = (
-    "fc afc united town wanderers albion rovers palace spurs north-end stanley dons hotspur forest logo badge "
-    "club hove and"
-).split()
+    "fc", "afc", "united", "town", "wanderers", "albion", "rovers", "palace", "spurs", "north-end", "stanley",
+    "dons", "hotspur", "forest", "logo", "badge", "club", "hove", "and",
+)
 
 
 def match_name(name: Column | str) -> Column:

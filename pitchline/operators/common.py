@@ -39,24 +39,19 @@ SKETCH_ACCURACY = 10_000
 def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (), name: str = "quantile") -> DataFrame:
     """Exact linearly interpolated quantile per group without gathering a group.
 
-    A mergeable sketch brackets the wanted ranks; its rank error is below ``1/SKETCH_ACCURACY`` of the group, and
-    the bracket is four times as wide, so the answer always lies inside. Only the distinct values inside the
-    bracket are ordered; rows below it are merely counted. Groups of up to SKETCH_ACCURACY rows are bracketed
-    by their minimum and maximum.
+    A mergeable sketch brackets the wanted ranks; its rank error is below ``1/SKETCH_ACCURACY`` of the group, and the bracket is
+    four times as wide, then widened by the next value on either side, so both ranks lie inside for groups of any size.
+    Only the distinct values inside the bracket are ordered; rows below it are merely counted.
     """
     keys = list(by)
     v = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     slack = 4.0 / SKETCH_ACCURACY
     sketch = F.percentile_approx("__v", [max(0.0, q - slack), min(1.0, q + slack)], SKETCH_ACCURACY)
-    bracket = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"),
-                                   F.max("__v").alias("__max"), sketch.alias("__b"))
-    small = F.col("__n") <= SKETCH_ACCURACY
-    at_start, at_end = F.lit(q - slack <= 0), F.lit(q + slack >= 1)
-    bracket = bracket.select(
-        *keys, "__n",
-        F.when(small | at_start, F.col("__min")).otherwise(F.col("__b")[0]).alias("__lo"),
-        F.when(small | at_end, F.col("__max")).otherwise(F.col("__b")[1]).alias("__hi"),
-    )
+    near = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__b"))
+    below, over = F.col("__v") < F.col("__b")[0], F.col("__v") > F.col("__b")[1]
+    bracket = attach_by(v, near, keys).groupBy(*keys, "__n", "__b").agg(
+        F.max(F.when(below, F.col("__v"))).alias("__lo"), F.min(F.when(over, F.col("__v"))).alias("__hi"))
+    bracket = bracket.select(*keys, "__n", F.coalesce("__lo", F.col("__b")[0]).alias("__lo"), F.coalesce("__hi", F.col("__b")[1]).alias("__hi"))
     counted = (
         attach_by(v, bracket, keys).filter(F.col("__v") <= F.col("__hi"))
         .withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
-from pitchline.operators.stints import on_pitch, with_lineups
+from pitchline.operators.stints import lineups_from_squads, squads
 from pitchline.session import materialize
 
 # Output column -> field of the feed's player statistics (the feed spells the last one this way).
@@ -194,8 +194,8 @@ def build_feed_stints(fixtures: DataFrame, statistics: DataFrame, events: DataFr
     segments = segments.join(ends, "fixture_id").select(
         F.col("league_id"), "season", "fixture_id", "start", "end", "duration", "home_team_id", "away_team_id",
         ((per_minute("home") - per_minute("away")) * F.col("duration")).alias("xg_diff"), "score_diff", "red_home", "red_away")
-    covered = on_pitch(segments, presence(start, flat, ends), ["fixture_id"])
-    return with_lineups(covered).withColumnRenamed("fixture_id", "game_id")
+    by_game = squads(presence(start, flat, ends), ["fixture_id"])
+    return lineups_from_squads(segments, by_game, ["fixture_id"]).withColumnRenamed("fixture_id", "game_id")
 
 
 def fixture_records(fixtures: DataFrame, statistics: DataFrame, is_live: bool) -> DataFrame:

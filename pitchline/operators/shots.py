@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
 from pitchline.operators.common import attach_totals
+from pitchline.session import materialize
 
 PLAYER = ("player_id", "player")
 
@@ -45,12 +46,33 @@ def shot_totals(shots: DataFrame) -> DataFrame:
     return one.withColumn("conversion_rate", S.rate("all_goals", "sum_xg"))
 
 
+def _counts(shots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return shots.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("result").alias("total_shots"), F.count_if(S.is_goal_result("result")).alias("total_goals"),
+        F.sum("xg").alias("total_xg"), F.count("xg").alias("n_xg"))
+
+
+def counts_by(shots: DataFrame, keys: Sequence[str] = PLAYER) -> DataFrame:
+    """Sums per key, written once. Rows with a NULL key are kept, so that the totals of all shots are sums over this table."""
+    return materialize(_counts(shots, keys), "counts")
+
+
+def totals_of(counts: DataFrame) -> DataFrame:
+    """The row of ``shot_totals`` from ``counts_by``, without another scan of the shots."""
+    one = counts.agg(F.sum("n_rows").alias("all_shots"), F.sum("total_goals").alias("all_goals"),
+                     S.rate(F.sum("total_xg"), F.sum("n_xg")).alias("avg_xg"), F.sum("total_xg").alias("sum_xg"))
+    return one.withColumn("conversion_rate", S.rate("all_goals", "sum_xg"))
+
+
+def known(counts: DataFrame, keys: Sequence[str] = PLAYER) -> DataFrame:
+    """Shots, goals, mean and summed xG per key; rows with a NULL key are left out."""
+    return counts.dropna(subset=list(keys)).select(
+        *keys, "total_shots", "total_goals", S.rate("total_xg", "n_xg").alias("xg_per_shot"), "total_xg")
+
+
 def shots_by(shots: DataFrame, keys: Sequence[str] = PLAYER) -> DataFrame:
-    """Shots, goals, mean and summed xG per key in one pass; rows with a NULL key are left out."""
-    known = shots.dropna(subset=list(keys))
-    return known.groupBy(*keys).agg(
-        F.count("result").alias("total_shots"), F.count_if(S.is_goal_result("result")).alias("total_goals"),
-        F.avg("xg").alias("xg_per_shot"), F.sum("xg").alias("total_xg"))
+    """``known`` of shots that are read for this alone."""
+    return known(_counts(shots, keys), keys)
 
 
 def appearances_by(appearances: DataFrame, keys: Sequence[str] = PLAYER, match: str = "game_id") -> DataFrame:
@@ -71,11 +93,11 @@ def teams(shots: DataFrame) -> DataFrame:
     return named.groupBy("team_id").agg(F.min("team_name").alias("team_name"))
 
 
-def shares_by(shots: DataFrame, key: str, shots_share: str = "shot_proportion") -> DataFrame:
-    """Share of shots and of goals per category; categories without a goal are left out."""
-    counts = shots_by(shots, [key]).select(key, "total_shots", "total_goals")
-    whole = counts.agg(F.sum("total_shots").alias("__s"), F.sum("total_goals").alias("__g"))
-    return attach_totals(counts.filter(F.col("total_goals") > 0), whole).select(
+def shares_by(counts: DataFrame, key: str, shots_share: str = "shot_proportion") -> DataFrame:
+    """Share of shots and of goals per category from ``counts_by``; categories without a goal are left out."""
+    rows = known(counts, [key]).select(key, "total_shots", "total_goals")
+    whole = rows.agg(F.sum("total_shots").alias("__s"), F.sum("total_goals").alias("__g"))
+    return attach_totals(rows.filter(F.col("total_goals") > 0), whole).select(
         key, S.rate("total_shots", "__s").alias(shots_share), S.rate("total_goals", "__g").alias("goal_proportion"))
 
 

@@ -107,30 +107,36 @@ def on_pitch(segments: DataFrame, intervals: DataFrame, game: Sequence[str] = GA
     return covered.withColumn("sign", F.when(F.col("side") == "home", 1.0).otherwise(-1.0)).drop("__from", "__to", "side")
 
 
-def with_lineups(covered: DataFrame) -> DataFrame:
-    """Segments with both line-ups as sorted id arrays; a segment needs a player on either side.
+def squads(intervals: DataFrame, game: Sequence[str] = GAME) -> DataFrame:
+    """One row per game with the intervals of both sides as arrays ordered by player: as long as a squad list."""
+    of = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("player_id", "start", "end"))))
+    return intervals.groupBy(*game).agg(of("home").alias("home_squad"), of("away").alias("away_squad"))
 
-    A line-up is what stands on the pitch in one segment of one game, so an array stays within a squad however many
-    games there are.
-    """
-    keys = [c for c in covered.columns if c not in ("player_id", "sign")]
-    players = lambda s: F.sort_array(F.collect_list(F.when(F.col("sign") == s, F.col("player_id"))))
-    both = covered.groupBy(*keys).agg(players(1.0).alias("home_players"), players(-1.0).alias("away_players"))
-    return both.filter((F.size("home_players") > 0) & (F.size("away_players") > 0))
+
+def lineups_from_squads(segments: DataFrame, by_game: DataFrame, game: Sequence[str] = GAME) -> DataFrame:
+    """Segments with both line-ups as sorted id arrays, picked from the squads of the game inside the row; both need a player."""
+    def standing(squad: str):
+        inside = F.filter(squad, lambda p: (p["start"] <= F.col("start")) & (p["end"] >= F.col("end")))
+        return F.transform(inside, lambda p: p["player_id"])
+
+    both = segments.join(by_game, list(game)).withColumns({"home_players": standing("home_squad"), "away_players": standing("away_squad")})
+    return both.drop("home_squad", "away_squad").filter((F.size("home_players") > 0) & (F.size("away_players") > 0))
 
 
 def build_stints(schedule: DataFrame, players: DataFrame, shots: DataFrame, min_minutes: float = 1.0,
                  game: Sequence[str] = GAME) -> DataFrame:
     """Stints of all games from schedule, appearances and shots.
 
-    Three narrow tables are read by several later steps and are written once (each step would prune a different set
-    of columns and so scan the shots again): xG per minute, match ends and intervals. The shots are scanned once.
+    Narrow tables that are read by several later steps are written once (each step would prune a different set of columns
+    and so scan its source again): appearances, xG per minute, match ends and intervals. Shots and appearances are
+    scanned once.
     """
+    narrow = materialize(players.select(*game, "team_id", "player_id", "minutes", "position", "red_cards"), "appearances")
     by_minute = materialize(shots_by_minute(shots, game), "by-minute")
-    ends = materialize(match_ends(schedule, players, by_minute, game), "match-ends")
-    intervals = materialize(player_intervals(players, ends, game), "intervals")
+    ends = materialize(match_ends(schedule, narrow, by_minute, game), "match-ends")
+    intervals = materialize(player_intervals(narrow, ends, game), "intervals")
     segments = cut_stints(ends, boundary_deltas(ends, intervals, by_minute, game), min_minutes, game)
-    return with_lineups(on_pitch(segments, intervals, game))
+    return lineups_from_squads(segments, squads(intervals, game), game)
 
 
 def with_stint_index(stints: DataFrame, game: Sequence[str] = GAME) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
 from pitchline.operators.common import attach_totals
-from pitchline.operators.shots import shares_by, shot_totals
+from pitchline.operators.shots import counts_by, shares_by, totals_of
+from pitchline.session import materialize
 
 
 def by_situation(shots: DataFrame) -> DataFrame:
     """Goal probability per situation: goal share x mean xG / shot share."""
-    shares = attach_totals(shares_by(shots, "situation", "situation_proportion"), shot_totals(shots).select("avg_xg"))
+    counts = counts_by(shots, ["situation"])
+    shares = attach_totals(shares_by(counts, "situation", "situation_proportion"), totals_of(counts).select("avg_xg"))
     return shares.select("situation", "situation_proportion", "goal_proportion",
                          S.rate(F.col("goal_proportion") * F.col("avg_xg"), "situation_proportion").alias("goal_probability"))
 
@@ -24,8 +26,9 @@ def by_scoreline(labelled: DataFrame) -> DataFrame:
     """
     states = labelled.groupBy(
         F.when(F.col("game_state") == "trailing", "losing").otherwise(F.col("game_state")).alias("scoreline_type")
-    ).agg(F.count(F.lit(1)).alias("n"), F.sum("result_boolean").alias("g"))
-    whole = shot_totals(labelled).select("all_shots", "avg_xg")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("result_boolean").alias("g"), F.sum("xg").alias("x"), F.count("xg").alias("nx"))
+    states = materialize(states, "scorelines")
+    whole = states.agg(F.sum("n").alias("all_shots"), S.rate(F.sum("x"), F.sum("nx")).alias("avg_xg"))
     shares = attach_totals(states, whole).select(
         "scoreline_type", S.rate("n", "all_shots").alias("proportion"), S.rate("g", "n").alias("goal_distribution"), "avg_xg")
     return shares.select("scoreline_type", "proportion", "goal_distribution",

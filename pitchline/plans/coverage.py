@@ -45,13 +45,22 @@ def sample_events(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 def stat_fields(players: DataFrame) -> DataFrame:
-    """Sorted field names of the first listed player's first statistics entry per fixture."""
+    """Sorted field names of the first listed player's first statistics entry per fixture.
+
+    With ``players`` as delivered (a VARIANT, see ``read_delivered_players``) these are the names the feed sends, those with a null
+    and those no schema knows included; of typed rows they are the declared ones that hold something.
+    """
     order = "block_pos" if "block_pos" in players.columns else "team.id"
-    first = players.filter(F.size("players") > 0).select(
-        "fixture_id", F.col(order).alias("__o"), F.get("players", F.lit(0)).alias("p"))
-    shown = first.groupBy("fixture_id").agg(F.min_by("p", F.struct("__o", "p.player.id")).alias("p"))
-    keys = F.json_object_keys(F.to_json(F.get("p.statistics", F.lit(0))))
-    return shown.select("fixture_id", F.coalesce(F.array_sort(keys), F.array().cast("array<string>")).alias("player_stat_fields"))
+    if dict(players.dtypes)["players"] == "variant":
+        at = lambda path, kind: F.try_variant_get("players", f"$[0]{path}", kind)
+        first = players.filter(at("", "variant").isNotNull()).select(
+            "fixture_id", F.col(order).alias("__o"), at(".player.id", "bigint").alias("__id"), F.to_json(at(".statistics[0]", "variant")).alias("__s"))
+    else:
+        p = F.get("players", F.lit(0))
+        first = players.filter(F.size("players") > 0).select(
+            "fixture_id", F.col(order).alias("__o"), p["player"]["id"].alias("__id"), F.to_json(F.get(p["statistics"], F.lit(0))).alias("__s"))
+    listed = first.withColumn("__k", F.coalesce(F.array_sort(F.json_object_keys("__s")), F.array().cast("array<string>")))
+    return listed.groupBy("fixture_id").agg(F.min_by("__k", F.struct("__o", "__id")).alias("player_stat_fields"))
 
 
 def expected_goals_by_team(statistics: DataFrame) -> DataFrame:

@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
 from pitchline.operators.common import attach_totals, exact_quantile
-from pitchline.operators.shots import PLAYER, shot_totals, shots_by
+from pitchline.operators.shots import PLAYER, counts_by, known, shots_by, totals_of
 from pitchline.session import materialize
 
 # Fixed value: the prior of the finishing coefficient is worth this many average shots.
 PRIOR_SHOTS = 100.0
 
 
-def skill(shots: DataFrame, totals: DataFrame, keys=PLAYER, coefficient: str = "finishing_coefficient",
-          keep_goalless: bool = False) -> DataFrame:
-    """Goal and shot shares, adjusted xG and the Gamma-Poisson coefficient per player or team.
+def skill(counts: DataFrame, keys=PLAYER, coefficient: str = "finishing_coefficient", keep_goalless: bool = False) -> DataFrame:
+    """Goal and shot shares, adjusted xG and the Gamma-Poisson coefficient per player or team, from ``counts_by`` the keys.
 
-    ``totals`` is the one-row table of ``shot_totals``. Entities without a goal are left out unless ``keep_goalless``.
+    Entities without a goal are left out unless ``keep_goalless``.
     """
-    return _skill(shots_by(shots, keys), totals, keys, coefficient, keep_goalless)
+    return _skill(known(counts, keys), totals_of(counts), keys, coefficient, keep_goalless)
 
 
 def _skill(per_key: DataFrame, totals: DataFrame, keys, coefficient: str, keep_goalless: bool = False) -> DataFrame:
@@ -41,9 +40,9 @@ def adjust(shots: DataFrame, coefficients: DataFrame, on: list[str], coefficient
     return joined.withColumn(out, S.from_odds(S.odds("xg") * F.col(coefficient)))
 
 
-def true_xg_shots(shots: DataFrame, keep_goalless: bool = False) -> DataFrame:
-    """Shots of rated players with ``finishing_coefficient`` and ``true_xg``."""
-    players = skill(shots, shot_totals(shots), keep_goalless=keep_goalless)
+def true_xg_shots(shots: DataFrame, counts: DataFrame | None = None, keep_goalless: bool = False) -> DataFrame:
+    """Shots of rated players with ``finishing_coefficient`` and ``true_xg``: one pass for ``counts_by`` players, one for the shots."""
+    players = skill(counts_by(shots) if counts is None else counts, keep_goalless=keep_goalless)
     return adjust(shots, players, list(PLAYER), "finishing_coefficient", "true_xg")
 
 

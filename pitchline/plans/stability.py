@@ -10,23 +10,53 @@ from pyspark.sql import functions as F
 from pitchline.functions import scalars as S
 
 
-def series_steps(df: DataFrame, value: str, ewma_span: int = 3) -> DataFrame:
-    """Each point with the player's previous value, first value and exponentially weighted mean.
+#: Rows of a block, and blocks of a block of blocks: no row looks back further than this on any level but the last.
+BLOCK = 128
+
+
+def moving_average(df: DataFrame, x: str, a: float, key: str, place: str, name: str = "ewma") -> DataFrame:
+    """Exponentially weighted mean e(1) = x(1), e(t) = a x(t) + (1 - a) e(t - 1) in the order of ``place`` (1, 2, ... per ``key``).
 
-    The mean's weights fall off geometrically, so the frame is cut where they vanish in double precision; no
-    series is ever gathered whole.
+    A step is the map e -> gain * e + shift, and a run of steps is one such map. Maps are composed inside blocks of rows, blocks
+    inside blocks of blocks, and these in order; each row then applies the map of its block to what came before it. This
+    is exact for any length, and the work grows with the length, not with its square.
     """
-    a = 2.0 / (ewma_span + 1)
-    reach = 1 if a >= 1 else math.ceil(40 / -math.log(1 - a))
+    first = F.col(place) == 1
+    step = df.withColumns({"__gain": F.when(first, 0.0).otherwise(1 - a), "__shift": F.when(first, F.col(x)).otherwise(a * F.col(x)),
+                           "__b1": F.floor((F.col(place) - 1) / BLOCK), "__b2": F.floor((F.col(place) - 1) / (BLOCK * BLOCK))})
+
+    def composed(frame: DataFrame, by: list[str], order: str) -> DataFrame:
+        so_far = F.collect_list(F.struct("__gain", "__shift")).over(
+            Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        fold = F.reduce("__maps", F.struct(F.lit(1.0).alias("g"), F.lit(0.0).alias("s")), lambda s, m: F.struct(
+            (m["__gain"] * s["g"]).alias("g"), (m["__gain"] * s["s"] + m["__shift"]).alias("s")))
+        return frame.withColumn("__maps", so_far).withColumn("__fold", fold).withColumns(
+            {"__gain": F.col("__fold")["g"], "__shift": F.col("__fold")["s"]}).drop("__maps", "__fold")
+
+    def before(frame: DataFrame, by: list[str], order: str) -> DataFrame:
+        """The mean in front of each block, from the blocks' maps in order (the first map of a series has gain 0)."""
+        return frame.withColumn("__before", F.lag("__shift").over(Window.partitionBy(*by).orderBy(order)))
+
+    rows = composed(step, [key, "__b1"], place)
+    blocks = rows.groupBy(key, "__b1", "__b2").agg(F.max_by("__gain", place).alias("__gain"), F.max_by("__shift", place).alias("__shift"))
+    inner = composed(blocks, [key, "__b2"], "__b1")
+    outer = inner.groupBy(key, "__b2").agg(F.max_by("__gain", "__b1").alias("__gain"), F.max_by("__shift", "__b1").alias("__shift"))
+    outer = before(composed(outer, [key], "__b2"), [key], "__b2").select(
+        F.col(key).alias("__k2"), F.col("__b2").alias("__n2"), F.col("__before").alias("__far"))
+    ends = inner.join(outer, F.col(key).eqNullSafe(F.col("__k2")) & (F.col("__b2") == F.col("__n2"))).withColumn("__end", F.col("__gain") * F.coalesce("__far", F.lit(0.0)) + F.col("__shift"))
+    ahead = ends.select(F.col(key).alias("__k1"), F.col("__b1").alias("__n1"),
+                        F.lag("__end").over(Window.partitionBy(key).orderBy("__b1")).alias("__near"))
+    found = rows.join(ahead, F.col(key).eqNullSafe(F.col("__k1")) & (F.col("__b1") == F.col("__n1"))).withColumn(name, F.col("__gain") * F.coalesce("__near", F.lit(0.0)) + F.col("__shift"))
+    return found.select(*df.columns, name)
+
+
+def series_steps(df: DataFrame, value: str, ewma_span: int = 3) -> DataFrame:
+    """Each point with the player's previous value, first value and exponentially weighted mean."""
     order = Window.partitionBy("player_id").orderBy(S.season_key("season"), "league", value)
-    tail = F.collect_list("x").over(order.rowsBetween(-reach, 0))
-    ewma = F.reduce(F.slice("tail", 2, F.greatest(F.size("tail") - 1, F.lit(0))), F.get("tail", F.lit(0)),
-                    lambda e, x: x * a + e * (1 - a))
-    points = df.withColumn("x", F.col(value).cast("double"))
-    return points.select(
+    points = df.withColumn("x", F.col(value).cast("double")).select(
         "player_id", "player", S.season_key("season").alias("season_key"), "league", "x", F.lag("x").over(order).alias("prev"),
-        F.first("x").over(order).alias("first"), F.row_number().over(order).alias("t"), tail.alias("tail"),
-    ).withColumn("ewma", ewma).drop("tail")
+        F.first("x").over(order).alias("first"), F.row_number().over(order).alias("t"))
+    return moving_average(points, "x", 2.0 / (ewma_span + 1), "player_id", "t")
 
 
 def ar1_sums(steps: DataFrame) -> DataFrame:

@@ -44,8 +44,12 @@ _BUNDLE = "struct<" + FIXTURE.replace("fixture struct", "fixture: struct").repla
     f", events: array<{EVENT}>, lineups: array<{LINEUP}>, players: array<{PLAYERS}>, statistics: array<{STATISTIC}>>")
 POLL = f"polled_at string, response array<{_BUNDLE}>"
 
-_METRICS = ("goals assists shots shots_on key_passes passes_total tackles_total interceptions blocks duels_won dribbles_success "
-            "fouls_drawn fouls_committed yellow_cards red_cards penalties_scored penalties_missed penalties_won penalties_committed").split()
+# Summed metrics of the feed form.
+FEED_METRICS = (
+    "goals", "assists", "shots", "shots_on", "key_passes", "passes_total", "tackles_total", "interceptions",
+    "blocks", "duels_won", "dribbles_success", "fouls_drawn", "fouls_committed", "yellow_cards", "red_cards",
+    "penalties_scored", "penalties_missed", "penalties_won", "penalties_committed",
+)
 STATE_FIXTURES = (
     "fixture_id bigint, date string, status string, elapsed int, home_team_id bigint, away_team_id bigint, home_name string, "
     "away_name string, goals_home double, goals_away double, xg_home double, xg_away double, is_live boolean, is_finished boolean, "
@@ -55,4 +59,4 @@ STATE_STINTS = (
     "home_players array<bigint>, away_players array<bigint>, xg_diff double, score_diff double, red_home double, red_away double, "
     "is_live boolean, league_id bigint, season int")
 STATE_PLAYERS = ("fixture_id bigint, team_id bigint, player_id bigint, player string, minutes double, position string, "
-                 + ", ".join(f"{m} double" for m in _METRICS) + ", league_id bigint, season int")
+                 + ", ".join(f"{m} double" for m in FEED_METRICS) + ", league_id bigint, season int")

@@ -152,3 +152,16 @@ def test_names_against_brute_force(spark):
                             spark.createDataFrame([(f, i) for i, f in enumerate(files)], "candidate string, position int"))
     found = {r.name: r.candidate for r in got.collect()}
     assert found == want and None in want.values()
+
+
+def test_moving_average_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stability, "BLOCK", 4)
+    values = [float((i * 37) % 11) for i in range(90)]
+    rows = [(k, i + 1, v + (k or 0)) for k in (1, 2, None) for i, v in enumerate(values[:90 - 40 * (k == 2)])]
+    got = stability.moving_average(spark.createDataFrame(rows, "k long, t int, x double"), "x", 0.1, "k", "t").collect()
+    assert len(got) == len(rows)
+    for k in (1, 2, None):
+        e = None
+        for r in sorted((r for r in got if r.k == k), key=lambda r: r.t):
+            e = r.x if e is None else 0.1 * r.x + 0.9 * e
+            assert r.ewma == pytest.approx(e, abs=1e-12)
