@@ -11,8 +11,8 @@ from pitchline.session import materialize
 
 #: Lines of fewer characters are only held against equal lines: among short words one character is another word.
 MIN_CHARS = 10
-#: A line is seen as this many blocks; the two values are those of the coarse and the fine filter.
-COARSE, FINE = 2, 16
+#: Candidates are seen as this many blocks (all lines as two halves, before).
+FINE = 16
 _SHIFT = 1 << 32
 
 
@@ -25,21 +25,30 @@ def _lines(docs: DataFrame) -> DataFrame:
         "doc_id", "line_no", "line", pos.alias("pos"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
-def _around(line: Column, base: Column, q: Column, blocks: int) -> Column:
+def _halves(line: str, n: str) -> list[Column]:
+    """``_surroundings`` for two blocks, as plain columns: every line has them, and these compile."""
+    out = []
+    for base in (F.col(n), F.col(n) - 1):
+        cut = F.floor(base / 2).cast("int")
+        out += [F.xxhash64(base, F.lit(0), F.substr(line, F.col(n) - base + cut + 1)), F.xxhash64(base, F.lit(1), F.left(line, cut))]
+    return out
+
+
+def _around(line: Column, base: Column, q: Column) -> Column:
     """Hash of what surrounds block q of a line whose blocks are measured on ``base`` characters."""
-    begin, end = F.floor(q * base / blocks).cast("int"), F.floor((q + 1) * base / blocks).cast("int")
+    begin, end = F.floor(q * base / FINE).cast("int"), F.floor((q + 1) * base / FINE).cast("int")
     return F.xxhash64(base, q, F.left(line, begin), F.lit("\n"), F.right(line, base - end))
 
 
-def _surroundings(line: Column, n: Column, blocks: int) -> Column:
+def _surroundings(line: Column, n: Column) -> Column:
     """One entry per block for the line's own length and for one less.
 
     Two lines within one edit agree outside the block that holds the edit, with both measured on the length of the
     shorter (of either, if they are equally long). So lines that share no such entry have no partner.
     """
     def entries(base: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda q: F.struct(
-            _around(line, base, q, blocks).alias("key"), base.alias("base"), q.alias("q")))
+        return F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda q: F.struct(
+            _around(line, base, q).alias("key"), base.alias("base"), q.alias("q")))
 
     return F.concat(entries(n), entries(n - 1))
 
@@ -70,7 +79,7 @@ def _variants(filed: DataFrame) -> DataFrame:
 
 def _earlier(cand: DataFrame) -> DataFrame:
     """``k1``, ``k2``, ``earlier``: the first place of a line that stands before this one and is one edit away."""
-    filed = cand.select("*", F.inline(F.array_distinct(_surroundings(F.col("line"), F.col("n"), FINE))))
+    filed = cand.select("*", F.inline(F.array_distinct(_surroundings(F.col("line"), F.col("n")))))
     met = filed.join(_shared(filed), "key", "left_semi")
     rows = materialize(_variants(met), "variants")
     low = lambda role: F.min(F.when(F.col("role") == role, F.col("pos")))
@@ -92,12 +101,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     and a smaller line number; every line of the input counts, whether it is itself removed or not.
     """
     lines = _lines(docs)
-    n = F.length("line")
-    coarse = F.when(n >= min_chars, F.array_distinct(F.transform(_surroundings(F.col("line"), n, COARSE), lambda e: e["key"])))
-    keyed = lines.select("k1", "k2", "pos", *[F.get(coarse, i).alias(f"h{i}") for i in range(2 * COARSE)])
+    names = ["h0", "h1", "h2", "h3"]
+    measured = lines.select("k1", "k2", "pos", "line", F.length("line").alias("n"))
+    keyed = measured.select("k1", "k2", "pos", *[F.when(F.col("n") >= min_chars, h).alias(c) for c, h in zip(names, _halves("line", "n"))])
     distinct = materialize(keyed.groupBy("k1", "k2").agg(
-        F.min("pos").alias("pos"), F.count(F.lit(1)).alias("times"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(2 * COARSE)]), "lines")
-    halves = distinct.select("k1", "k2", "pos", F.explode(F.array(*[f"h{i}" for i in range(2 * COARSE)])).alias("key")).filter("key is not null")
+        F.min("pos").alias("pos"), F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in names]), "lines")
+    halves = distinct.select("k1", "k2", "pos", F.explode(F.array(*names)).alias("key")).filter("key is not null")
     wanted = halves.join(_shared(halves), "key", "left_semi").select("pos").distinct()
     cand = materialize(lines.join(wanted, "pos", "left_semi").select("k1", "k2", "pos", "line", F.length("line").alias("n"))
                        .dropDuplicates(["pos"]), "candidates")
