@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchline.llm.common import small_batches, table
 from pitchline.llm.registry import register
-from pitchline.llm.text import LOWER, RUNS, WORD, cut, mix, slices
+from pitchline.llm.text import LOWER, RUNS, WORD, cut, mix, range_hashes, slices
 from pitchline.session import materialize
 
 FOLDS = 2
@@ -42,8 +42,8 @@ def _ngrams(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray
     An echo is a word said for the fourth time at steps of one or two places; all echoes of one step are one n-gram, as
     what repeats itself is rarely a word that other documents repeat.
 
-    The fold is drawn from the smallest word hash of the document, so copies and most near copies share a fold and no
-    document is judged by a model that has read its own text.
+    The fold is drawn from the smallest hash of the document's runs of four words (of its words, if it has fewer), so copies and
+    most near copies share a fold and no document is judged by a model that has read its own text.
     """
     words = cut(data, bounds, RUNS)
     h, owner = words.hashes(LOWER), words.owner()
@@ -52,7 +52,14 @@ def _ngrams(data: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray
     fold = np.zeros(len(bounds) - 1, np.int64)
     full = np.diff(words.first) > 0
     if full.any():
-        fold[full] = (mix(np.minimum.reduceat(h, words.first[:-1][full])) % np.uint64(FOLDS)).astype(np.int64)
+        runs = np.full(len(h), np.iinfo(np.uint64).max)
+        heads = np.flatnonzero(owner[3:] == owner[:-3])
+        runs[heads] = range_hashes(h, heads, heads + 4)
+        first = words.first[:-1][full]
+        least = np.minimum.reduceat(runs, first)
+        short = least == np.iinfo(np.uint64).max
+        least[short] = np.minimum.reduceat(h, first)[short]
+        fold[full] = (mix(least) % np.uint64(FOLDS)).astype(np.int64)
     keys, owners = [h, two], [owner, owner[1:][pair]]
     for step in (1, 2):
         same = (h[step:] == h[:-step]) & (owner[step:] == owner[:-step]) & (words.kinds[step:] == WORD)

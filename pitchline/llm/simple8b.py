@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pitchline.llm.common import small_batches, table
 from pitchline.llm.registry import register
-from pitchline.llm.text import BLANKS, SPACE, ragged, range_hashes, slices
+from pitchline.llm.text import BLANKS, SLICE, SPACE, ragged, range_hashes, slices
 from pitchline.session import scratch_path
 
 # --- coding: a 64-bit word is a 4-bit selector and 60 bits that hold COUNT values of WIDTH bits each -----------------
@@ -249,7 +249,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_id
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for low, high, data, bounds in slices(batch.column(1)):
+            for low, high, data, bounds in slices(batch.column(1), min(SLICE, 2 * file_ids)):
                 ids, sizes = own.encode(data, bounds)
                 out = np.full(len(ids) + high - low, end_id, np.uint64)
                 out[np.arange(len(ids)) + np.repeat(np.arange(high - low), sizes)] = ids
