@@ -8,7 +8,7 @@ from tests.llm.helpers import documents, edge_documents, labels
 VOCABULARY = [f"w{i}" for i in range(300)]
 
 
-def corpus(spark, n=600):
+def corpus(spark, n=1500):
     random.seed(3)
     docs, marks = [], []
     for i in range(n):
@@ -30,8 +30,8 @@ def test_rejects_what_the_target_lacks(spark):
     docs, marks, bad = corpus(spark)
     got = resampling.resample(docs, marks).collect()
     kept = {r.doc_id for r in got if r.kept}
-    assert len(got) == 600
-    assert len(kept - bad) >= 0.97 * (600 - len(bad))
+    assert len(got) == 1500
+    assert len(kept - bad) >= 0.97 * (1500 - len(bad))
     assert len(bad - kept) >= 0.9 * len(bad)
     again = resampling.resample(docs.repartition(7), marks).collect()
     assert {(r.doc_id, r.gumbel_key, r.kept) for r in again} == {(r.doc_id, r.gumbel_key, r.kept) for r in got}
