@@ -25,7 +25,7 @@ _OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
 def _contents(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for the words of each range."""
+    """Twice 64 bits that stand for the words of each range."""
     return range_hashes(h, starts, ends).view(np.int64), range_hashes(mix(h ^ _OTHER), starts, ends).view(np.int64)
 
 
@@ -44,13 +44,13 @@ def segments(words: Words, window: int, anchor: int) -> dict[str, np.ndarray]:
     """Runs of windows of one document that share an anchor: the least-hashed run of ``anchor`` words of each.
 
     Equal windows have equal anchors, wherever they stand, so all their occurrences come under one key. Columns: doc, start
-    (first window), windows, key, k1, k2 (content).
+    (first window), windows, key (hash of the anchor), content (hash of all words; compared under one key only).
     """
     h, owner = words.hashes(), words.owner()
     n = len(h) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return dict.fromkeys(("doc", "start", "windows", "key", "k1", "k2"), none)
+        return dict.fromkeys(("doc", "start", "windows", "key", "content"), none)
     heads = np.arange(len(h) - anchor + 1)
     shingle = range_hashes(h, heads, heads + anchor)
     place = _least(mix(shingle), window - anchor + 1)
@@ -60,9 +60,9 @@ def segments(words: Words, window: int, anchor: int) -> dict[str, np.ndarray]:
     edges = np.flatnonzero(begin)
     at, count = edges[:-1], np.diff(edges)
     at, count = at[valid[at]], count[valid[at]]
-    k1, k2 = _contents(h, at, at + count + window - 1)
+    content = range_hashes(h, at, at + count + window - 1).view(np.int64)
     doc = owner[at]
-    return {"doc": doc, "start": at - words.first[doc], "windows": count, "key": shingle[place[at]].view(np.int64), "k1": k1, "k2": k2}
+    return {"doc": doc, "start": at - words.first[doc], "windows": count, "key": shingle[place[at]].view(np.int64), "content": content}
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def _rows(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "doc_id", "text")
 
 
-_SEGMENT = "id long, row long, start int, windows int, key long, k1 long, k2 long"
+_SEGMENT = "id long, row long, start int, windows int, key long, content long"
 
 
 def _filed(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -82,18 +82,18 @@ def _filed(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 s = segments(cut(data, bounds), window, anchor)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[low + s["doc"]]), pa.array(rows[low + s["doc"]]), pa.array(s["start"], pa.int32()),
-                     pa.array(s["windows"], pa.int32()), *(pa.array(s[c]) for c in ("key", "k1", "k2"))],
-                    ["id", "row", "start", "windows", "key", "k1", "k2"])
+                     pa.array(s["windows"], pa.int32()), pa.array(s["key"]), pa.array(s["content"])],
+                    ["id", "row", "start", "windows", "key", "content"])
 
     return _rows(docs).select("id", "row", "text").mapInArrow(run, _SEGMENT)
 
 
-_UNIT = "id long, row long, start int, key long, k1 long, k2 long, times long, words binary"
+_UNIT = "id long, row long, start int, key long, content long, times long, words binary"
 
 
 def _units(docs: DataFrame, wanted: DataFrame, window: int, spread: bool) -> DataFrame:
     """The words (as hashes) of the wanted segments; with ``spread`` window by window, each under a key of its own words."""
-    asked = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows", "key", "k1", "k2", "times")).alias("asked"))
+    asked = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("start", "windows", "key", "content", "times")).alias("asked"))
     joined = _rows(docs).join(asked.hint("shuffle_hash"), ["id", "row"]).select("id", "row", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def _units(docs: DataFrame, wanted: DataFrame, window: int, spread: bool) -> Dat
             sizes = np.diff(lists.offsets.to_numpy())
             doc_of = np.repeat(np.arange(len(sizes)), sizes)
             flat = {name: column.to_numpy(zero_copy_only=False) for name, column in zip(
-                ("start", "windows", "key", "k1", "k2", "times"), lists.flatten().flatten())}
+                ("start", "windows", "key", "content", "times"), lists.flatten().flatten())}
             for low, high, data, bounds in slices(batch.column(2)):
                 words = cut(data, bounds)
                 h = words.hashes()
@@ -116,39 +116,37 @@ def _units(docs: DataFrame, wanted: DataFrame, window: int, spread: bool) -> Dat
                     start = ragged(f["start"].astype(np.int64), count)
                     doc, times, at = np.repeat(doc, count), np.repeat(f["times"], count), ragged(at, count)
                     size = np.full(len(at), window)
-                    k1, k2 = _contents(h, at, at + size)
-                    key = k1
+                    key, content = _contents(h, at, at + size)
                 else:
-                    start, key, k1, k2, times, size = f["start"], f["key"], f["k1"], f["k2"], f["times"], f["windows"] + window - 1
+                    start, key, content, times, size = f["start"], f["key"], f["content"], f["times"], f["windows"] + window - 1
                 offsets = np.concatenate([[0], np.cumsum(size.astype(np.int64) * 8)]).astype(np.int32)
                 body = pa.py_buffer(h[ragged(at, size.astype(np.int64))].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc]), pa.array(rows[doc]), pa.array(start, pa.int32()), *(pa.array(c) for c in (key, k1, k2, times)),
+                    [pa.array(ids[doc]), pa.array(rows[doc]), pa.array(start, pa.int32()), *(pa.array(c) for c in (key, content, times)),
                      pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), body])],
-                    ["id", "row", "start", "key", "k1", "k2", "times", "words"])
+                    ["id", "row", "start", "key", "content", "times", "words"])
 
     return joined.mapInArrow(run, _UNIT)
 
 
 def _matches(units: DataFrame, window: int) -> DataFrame:
-    """``key``, ``k1``, ``k2`` and, per run of repeated windows in them, ``low`` and ``high``: an index per shard of whole keys."""
-    distinct = units.groupBy("key", "k1", "k2").agg(F.sum("times").alias("times"), F.first("words").alias("words"))
-    dealt = distinct.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "k1", "k2")
+    """``key``, ``content`` and, per run of repeated windows in them, ``low`` and ``high``: an index per shard of whole keys."""
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.select("key", "content", "times", "words").repartition(parts, "key").sortWithinPartitions("key")
 
     def search(held: list[dict]) -> pa.RecordBatch:
         words = np.frombuffer(b"".join(w for part in held for w in part["words"]), np.uint64)
         lengths = np.array([len(w) // 8 for part in held for w in part["words"]])
-        names = ("key", "k1", "k2")
-        key, k1, k2, times = (np.concatenate([part[c] for part in held]) for c in (*names, "times"))
+        key, content, times = (np.concatenate([part[c] for part in held]) for c in ("key", "content", "times"))
         which, low, high = repeated(words, lengths, times, window)
-        return pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(k1[which]), pa.array(k2[which]),
-                                           pa.array(low, pa.int32()), pa.array(high, pa.int32())], [*names, "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(content[which]), pa.array(low, pa.int32()),
+                                           pa.array(high, pa.int32())], ["key", "content", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
-            part = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(("key", "k1", "k2", "times"))}
-            part["words"] = batch.column(4).to_pylist()
+            part = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(("key", "content", "times"))}
+            part["words"] = batch.column(3).to_pylist()
             if total >= SHARD_WORDS:                   # close the shard where the next key begins
                 cuts = np.flatnonzero(part["key"] != held[-1]["key"][-1])
                 at = int(cuts[0]) if len(cuts) else len(part["key"])
@@ -163,7 +161,7 @@ def _matches(units: DataFrame, window: int) -> DataFrame:
         if held:
             yield search(held)
 
-    return dealt.mapInArrow(run, "key long, k1 long, k2 long, low int, high int")
+    return dealt.mapInArrow(run, "key long, content long, low int, high int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -185,13 +183,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     occurrences = materialize(_filed(docs, window, anchor).join(keys, "key"), "segments")
     cold, warm = occurrences.filter("not hot").drop("hot"), occurrences.filter("hot").drop("hot")
     lead = F.min(F.struct("id", "row", "start"))
-    one = cold.groupBy("key", "k1", "k2", "windows").agg(F.count(F.lit(1)).alias("times"), lead.alias("lead")) \
-        .select("lead.*", "windows", "key", "k1", "k2", "times")
-    on = ["key", "k1", "k2"]
+    one = cold.groupBy("key", "content", "windows").agg(F.count(F.lit(1)).alias("times"), lead.alias("lead")) \
+        .select("lead.*", "windows", "key", "content", "times")
+    on = ["key", "content"]
     spans = cold.join(materialize(_matches(_units(docs, one, window, False), window), "matches"), on)
     if not keys.filter("hot").isEmpty():
         units = materialize(_units(docs, warm.withColumn("times", F.lit(1).cast("long")), window, True), "windows")
-        found = materialize(_matches(units, window), "matches")
+        distinct = units.groupBy(*on).agg(F.sum("times").alias("times"), F.first("words").alias("words"))
+        found = materialize(_matches(distinct, window), "matches")
         columns = ["id", "row", "start", "low", "high"]
         spans = spans.select(*columns).unionByName(units.drop("words", "times").join(found, on).select(*columns))
     low, high = F.col("start") + F.col("low"), F.col("start") + F.col("high") + window
