@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as contract
+from contract.catalog import ORACLES, QUERIES
 from tests.check_oracles import canonical, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,12 +19,12 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = contract.queries()[name](spark, SF_DIR).toPandas()
+    got = QUERIES[name](spark, SF_DIR).toPandas()
     if name not in ORACLES:
         assert len(got) > 0
         return
