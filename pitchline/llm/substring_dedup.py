@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pitchline.session import materialize
 WINDOW, ANCHOR = 35, 8
 #: Words in one index. A shard holds whole keys, so it may exceed this by the sequences of one key.
 SHARD_WORDS = 400_000
-#: A key with more occurrences is filed window by window.
+#: A key with more distinct segments is filed window by window.
 HOT = 50_000
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
@@ -173,26 +174,27 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     3. Segments are dealt out by anchor. A shard of whole anchors is indexed and its segments are streamed through the index.
     4. What was found holds for every copy of the segment.
 
-    An anchor with over ``hot`` occurrences (the edge of a passage that very many documents share) could have as many
-    distinct segments; its windows are filed one by one under their own words instead, so that equal windows are
+    An anchor with over ``hot`` distinct segments (the edge of a passage that very many documents share) would be too much for
+    one index; its windows are filed one by one under their own words instead, so that equal windows are
     summed before they meet and different ones spread over all tasks.
     """
     small_batches(docs.sparkSession)
     counts = _filed(docs, window, anchor).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keys = materialize(counts.select("key", (F.col("n") > hot).alias("hot")), "anchors")
-    occurrences = materialize(_filed(docs, window, anchor).join(keys, "key"), "segments")
-    cold, warm = occurrences.filter("not hot").drop("hot"), occurrences.filter("hot").drop("hot")
+    keys = materialize(counts.select("key"), "anchors")
+    cold = materialize(_filed(docs, window, anchor).join(keys, "key", "left_semi"), "segments")
     lead = F.min(F.struct("id", "row", "start"))
-    one = cold.groupBy("key", "content", "windows").agg(F.count(F.lit(1)).alias("times"), lead.alias("lead")) \
-        .select("lead.*", "windows", "key", "content", "times")
-    on = ["key", "content"]
-    spans = cold.join(materialize(_matches(_units(docs, one, window, False), window), "matches"), on)
-    if not keys.filter("hot").isEmpty():
-        units = materialize(_units(docs, warm.withColumn("times", F.lit(1).cast("long")), window, True), "windows")
+    one = materialize(cold.groupBy("key", "content", "windows").agg(F.count(F.lit(1)).alias("times"), lead.alias("lead"))
+                      .select("lead.*", "windows", "key", "content", "times"), "distinct")
+    crowded = materialize(one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"), "crowded")
+    on, columns, found = ["key", "content"], ["id", "row", "start", "low", "high"], []
+    if not crowded.isEmpty():
+        warm = cold.join(crowded, "key", "left_semi").withColumn("times", F.lit(1).cast("long"))
+        cold, one = (frame.join(crowded, "key", "left_anti") for frame in (cold, one))
+        units = materialize(_units(docs, warm, window, True), "windows")
         distinct = units.groupBy(*on).agg(F.sum("times").alias("times"), F.first("words").alias("words"))
-        found = materialize(_matches(distinct, window), "matches")
-        columns = ["id", "row", "start", "low", "high"]
-        spans = spans.select(*columns).unionByName(units.drop("words", "times").join(found, on).select(*columns))
+        found.append(units.drop("words", "times").join(materialize(_matches(distinct, window), "matches"), on).select(*columns))
+    found.append(cold.join(materialize(_matches(_units(docs, one, window, False), window), "matches"), on).select(*columns))
+    spans = reduce(DataFrame.unionByName, found)
     low, high = F.col("start") + F.col("low"), F.col("start") + F.col("high") + window
     return spans.groupBy("id", "row").agg(F.collect_set(F.struct(low.alias("low"), high.alias("high"))).alias("spans"))
 
@@ -207,7 +209,7 @@ def drop_repeated_substrings(docs: DataFrame, window: int = WINDOW, anchor: int
     included. Words are what lies between the six ASCII blanks, kept words are joined by one space; a null text has
     none. Rows repeated under one id count as two places, so texts of ``window`` words lose them all. A null id stays null.
     """
-    spans = repeated_windows(docs, window, anchor, hot)
+    spans = materialize(repeated_windows(docs, window, anchor, hot), "spans")        # so that the texts are shuffled once for them
     joined = _rows(docs).join(spans.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "text", "spans.low", "spans.high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
