@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchline.llm.common import WORD, table
@@ -16,13 +16,37 @@ FINE = 16
 _SHIFT = 1 << 32
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+#: Number of the first row without an id, beyond all ids.
+_BEYOND = "9223372036854775808"
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__doc`` and ``__skip``, the number of each row and of the lines that stand before its own under that number.
+
+    The number is the id. Different texts under one id follow one another in the order of their hashes; each row without
+    an id has a number of its own after all ids, in the order in which rows are read.
+    """
+    id_, hash_ = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.filter("doc_id is not null").select(id_.alias("__i"), hash_.alias("__h"),
+                                                     F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("size"))
+    several = texts.groupBy("__i").agg(F.min("__h").alias("low"), F.max("__h").alias("high")).filter("low <> high").select("__i")
+    before = Window.partitionBy("__i").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    skips = materialize(texts.join(several, "__i", "left_semi").distinct().select(
+        "__i", "__h", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__skip")), "skips")
+    named = docs.filter("doc_id is not null").withColumn("__i", id_).withColumn("__h", hash_).join(skips, ["__i", "__h"], "left") \
+        .withColumn("__doc", F.col("__i").cast("decimal(20,0)")).withColumn("__skip", F.coalesce("__skip", F.lit(0).cast("long"))) \
+        .select(*docs.columns, "__doc", "__skip")
+    own = (F.lit(_BEYOND).cast("decimal(20,0)") + F.monotonically_increasing_id()).cast("decimal(20,0)")
+    nameless = materialize(docs.filter("doc_id is null").select("*", own.alias("__doc"), F.lit(0).cast("long").alias("__skip")), "nameless")
+    return named.unionByName(nameless)
+
+
+def _lines(placed: DataFrame) -> DataFrame:
     """Every line with a word: its place in the corpus, its text and a 128-bit key of it."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1)).alias("doc_id"),
-                       F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    pos = (F.col("doc_id").cast("decimal(20,0)") * F.lit(_SHIFT).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(31,0)")
+    rows = placed.select("__doc", "__skip", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    pos = (F.col("__doc") * F.lit(_SHIFT).cast("decimal(10,0)") + F.col("__skip") + F.col("line_no")).cast("decimal(31,0)")
     return rows.filter(F.col("line").rlike(WORD)).select(
-        "doc_id", "line_no", "line", pos.alias("pos"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+        "__doc", "__skip", "line_no", "line", pos.alias("pos"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def _halves(line: str, n: str) -> list[Column]:
@@ -93,14 +117,14 @@ def _earlier(cand: DataFrame) -> DataFrame:
     return verified.groupBy("k1", "k2").agg(F.min("earlier").alias("earlier"))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id``, ``removed`` (0-based numbers) of the lines that repeat an earlier line, for documents that have any.
+def _repeated(placed: DataFrame, min_chars: int) -> DataFrame:
+    """``__doc``, ``__skip``, ``removed`` (0-based numbers) of the lines that repeat an earlier line, for rows that have any.
 
     A line repeats an earlier one if an equal line stands before it, or a line one inserted, deleted or replaced
-    character away where both have ``min_chars`` characters or more. "Before" means a smaller ``doc_id``, or the same
-    and a smaller line number; every line of the input counts, whether it is itself removed or not.
+    character away where both have ``min_chars`` characters or more. "Before" means a smaller place (see
+    ``_placed``); every line of the input counts, whether it is itself removed or not.
     """
-    lines = _lines(docs)
+    lines = _lines(placed)
     names = ["h0", "h1", "h2", "h3"]
     measured = lines.select("k1", "k2", "pos", "line", F.length("line").alias("n"))
     keyed = measured.select("k1", "k2", "pos", *[F.when(F.col("n") >= min_chars, h).alias(c) for c, h in zip(names, _halves("line", "n"))])
@@ -113,25 +137,25 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     near = materialize(_earlier(cand), "earlier")
     first = distinct.select("k1", "k2", "pos", "times").join(near, ["k1", "k2"], "left").filter("times > 1 or earlier is not null") \
         .select("k1", "k2", F.least("pos", "earlier").alias("first"))
-    gone = lines.select("doc_id", "line_no", "pos", "k1", "k2").join(first, ["k1", "k2"]).filter("pos > first")
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("removed"))
+    gone = lines.select("__doc", "__skip", "line_no", "pos", "k1", "k2").join(first, ["k1", "k2"]).filter("pos > first")
+    return gone.groupBy("__doc", "__skip").agg(F.collect_set("line_no").alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``text`` cleared of repeated lines, ``n_lines`` (lines with a word) and ``n_removed``.
 
-    Lines without a word stay. A null text becomes an empty one. Rows repeated under one id are one document, and all
-    rows without an id are together one last document. Columns of the input of the two new names are replaced.
+    Lines without a word stay. A null text becomes an empty one. Different texts under one id are documents of their
+    own, as is every row without an id; equal texts under one id are one document. Columns of the input of the two new names are replaced.
     """
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1))
-    gone = repeated_lines(docs.select("doc_id", "text"), min_chars).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
-    joined = docs.withColumn("__id", id_).join(gone, "__id", "left") \
+    placed = _placed(docs)
+    gone = _repeated(placed.select("text", "__doc", "__skip"), min_chars).withColumnRenamed("removed", "__gone")
+    joined = placed.join(gone, ["__doc", "__skip"], "left") \
         .withColumn("__l", F.split(F.coalesce("text", F.lit("")), "\n", -1)) \
         .withColumn("__r", F.coalesce("__gone", F.array().cast("array<int>")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), F.col("__r"))
     text = F.array_join(F.transform(kept, lambda i: F.get(F.col("__l"), i)), "\n")
     return joined.withColumn("text", text).withColumn("n_lines", F.size(F.filter("__l", lambda x: x.rlike(WORD))).cast("long")) \
-        .withColumn("n_removed", F.size("__r").cast("long")).drop("__id", "__gone", "__l", "__r")
+        .withColumn("n_removed", F.size("__r").cast("long")).drop("__doc", "__skip", "__gone", "__l", "__r")
 
 
 ORACLE = r"""

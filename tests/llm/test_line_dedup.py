@@ -57,3 +57,19 @@ def test_edges(spark):
     assert found[4].n_removed == 0 and found[5].text == "" and found[8].n_removed == 1
     assert {c for c in got.columns} == {*docs.columns, "n_removed"}
     assert L.drop_repeated_lines(docs.filter("false")).count() == 0
+
+
+def test_rows_without_an_id_and_texts_under_one_id_are_cleared_row_by_row(spark):
+    docs = [(1, "a line that is repeated\nfirst of one"), (None, "a line that is repeated\nown text of a row"),
+            (None, "unique text of a nameless row\nown text of a row"), (None, "same in both"), (None, "same in both"),
+            (7, "an earlier text under seven\nshared line of two texts"), (7, "another unique text\nshared line of two texts"),
+            (8, "a line that is repeated"), (8, "what only eight says"), (9, "candidate of one place"), (9, "partner of one place x"),
+            (10, "candidate of one place!"), (11, "partner of one place y")]
+    got = sorted((r.doc_id or 99, r.text) for r in L.drop_repeated_lines(documents(spark, docs)).collect())
+    of = lambda i: sorted(t for d, t in got if d == i)
+    lines = [x for _, t in got for x in t.split("\n") if x]
+    assert of(1) == ["a line that is repeated\nfirst of one"]
+    assert of(8) == ["", "what only eight says"] and of(10) == [""] and of(11) == [""]
+    assert {"unique text of a nameless row", "an earlier text under seven", "another unique text"} <= set(lines)
+    assert len(lines) == len(set(lines)) and lines.count("own text of a row") == lines.count("same in both") == 1
+    assert lines.count("shared line of two texts") == 1 and lines.count("a line that is repeated") == 1
