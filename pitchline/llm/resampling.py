@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchline.llm.common import small_batches, table
@@ -16,8 +17,10 @@ from pitchline.llm.text import LOWER, RUNS, WORD, cut, mix, range_hashes, slices
 from pitchline.session import materialize
 
 FOLDS = 2
-#: Keys are compared on this grid, fine enough that rows of one step are ties, which go by id.
-STEP, REACH = 0.05, 200.0
+#: The key sought is first bracketed on a grid that widens with the distance from 0: this many steps for each doubling.
+FINE = 256
+#: Places of the grids inside a step.
+GRID = 4096
 
 
 @dataclass(frozen=True)
@@ -159,21 +162,46 @@ def weights(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
 
 def _step(key: str = "gumbel_key"):
-    return F.floor(F.least(F.greatest(F.col(key), F.lit(-REACH)), F.lit(REACH)) / STEP).cast("int")
+    """A whole number that never falls as the key rises; a few thousand steps span keys of any size."""
+    size = F.floor(F.log2(1 + F.abs(F.col(key))) * FINE)
+    return F.when(F.col(key) < 0, -size).otherwise(size).cast("int")
+
+
+def _line(targets: DataFrame, keep_target: float) -> float | None:
+    """The key of the last of the ``keep_target`` highest of ``targets``, from counts on ``_step`` and then inside its step."""
+    steps = targets.groupBy(_step().alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+    left = ceil(keep_target * sum(r["n"] for r in steps))
+    for r in steps:
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    else:
+        return None
+    inside = targets.filter(_step() == r["step"])
+    while True:                                        # narrows the step to the values around the one sought
+        low, high, n = inside.agg(F.min("gumbel_key"), F.max("gumbel_key"), F.count(F.lit(1))).first()
+        if low == high or left >= n:
+            return low
+        if left <= 1:
+            return high
+        place = F.floor((F.col("gumbel_key") - low) / (high - low) * GRID).cast("int")
+        counts = inside.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("place")).collect()
+        for c in counts:
+            if left <= c["n"]:
+                break
+            left -= c["n"]
+        inside = inside.filter(place == c["place"])
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep_target: float = 0.99, settings: Settings = Settings()) -> DataFrame:
     """``weights`` and ``kept``: the Gumbel top-k, k being the least that holds ``keep_target`` of the target rows.
 
-    The k-th key is found from counts on a fixed grid of keys, never by sorting the corpus; rows that fall on one step
-    of the grid are ties and are kept together. Without target rows all are kept.
+    The k-th key is found exactly from counts on grids of keys, each inside one step of the one before, never by sorting the corpus;
+    rows of that very key are ties and are kept together. Without target rows all are kept.
     """
     scored = materialize(weights(docs, labels, settings), "weights")
-    steps = scored.filter("is_target").groupBy(_step().alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.desc("step")))       # the grid has a fixed number of steps
-    line = steps.select("step", above.alias("above"), F.sum("n").over(Window.partitionBy()).alias("all")) \
-        .filter(F.col("above") >= F.ceil(keep_target * F.col("all"))).agg(F.max("step")).first()[0]
-    return scored.withColumn("kept", F.lit(True) if line is None else _step() >= line)
+    line = _line(scored.filter("is_target").select("gumbel_key"), keep_target)
+    return scored.withColumn("kept", F.lit(True) if line is None else F.col("gumbel_key") >= line)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:

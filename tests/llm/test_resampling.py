@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -54,3 +55,21 @@ def test_edges(spark):
     assert resampling.resample(docs.filter("false"), some).count() == 0
     kept = resampling.drop_rejected(docs, some)
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 2
+
+
+def test_cut_off_is_exact_for_keys_of_any_size(spark):
+    random.seed(8)
+    for scale in (0.1, 30.0, 5000.0, 1e7):
+        keys = [random.gauss(-scale, scale) for _ in range(997)] + [-3 * scale] * 30
+        frame = spark.createDataFrame([(k,) for k in keys], "gumbel_key double")
+        for keep in (0.5, 0.97, 0.99, 1.0):
+            assert resampling._line(frame, keep) == sorted(keys, reverse=True)[math.ceil(keep * len(keys)) - 1]
+
+
+def test_long_texts_are_rejected_too(spark, monkeypatch):
+    docs = documents(spark, [(i, "x") for i in range(1000)])
+    scored = spark.createDataFrame([(i, -float(i), -1000.0 - i, i % 2 == 0) for i in range(1000)],
+                                   "doc_id long, log_weight double, gumbel_key double, is_target boolean")
+    monkeypatch.setattr(resampling, "weights", lambda *a: scored)
+    got = resampling.resample(docs, labels(spark, [])).collect()
+    assert {r.doc_id for r in got if r.kept} == set(range(989))
