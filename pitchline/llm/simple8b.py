@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pitchline.llm.common import small_batches, table
 from pitchline.llm.registry import register
-from pitchline.llm.text import BLANKS, SLICE, SPACE, ragged, range_hashes, slices
+from pitchline.llm.text import SLICE, ragged, range_hashes, slices
 from pitchline.session import scratch_path
 
 # --- coding: a 64-bit word is a 4-bit selector and 60 bits that hold COUNT values of WIDTH bits each -----------------
@@ -143,9 +143,15 @@ class Reader:
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
+#: Bytes that begin a character which the pre-tokenizer may take for a blank: the ASCII blanks and controls, and the lead bytes of
+#: U+0085, U+00A0, U+1680, U+180E, U+2000 to U+205F and U+3000. Other characters with these lead bytes are only not cut before.
+_MAY_BE_BLANK = np.zeros(256, bool)
+_MAY_BE_BLANK[[*range(0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 class Encoder:
-    """Ids of whole texts. A text falls apart before every single space in front of a visible character, since the
-    byte-level pre-tokenizer always begins a piece there; each distinct part is encoded once by the library."""
+    """Ids of whole texts. A text falls apart before every single space in front of a character that is no blank in Unicode,
+    since the byte-level pre-tokenizer always begins a piece there; each distinct part is encoded once by the library."""
 
     LIMIT = 1_000_000                                  # parts remembered; beyond it the memory starts anew
 
@@ -177,7 +183,7 @@ class Encoder:
         """Ids of all documents of a slice, one after the other, and the number of ids of each."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
-        blank = BLANKS[data] == SPACE
+        blank = _MAY_BE_BLANK[data]
         begin = np.zeros(len(data) + 1, bool)
         begin[:len(data) - 1] = (data[:-1] == 0x20) & ~blank[1:]
         last = bounds[1:][bounds[1:] > 0] - 1

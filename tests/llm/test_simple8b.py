@@ -71,3 +71,14 @@ def test_small_files_and_memory_of_parts(spark, tmp_path, monkeypatch):
     S.write(documents(spark, docs), f"file://{tmp_path}/out", S.tokenizer_path(), file_ids=500)
     assert len(list((tmp_path / "out").glob("*.s8b"))) > 5
     assert sorted(tuple(r) for r in S.read(spark, f"file://{tmp_path}/out").collect()) == brute(docs)
+
+
+def test_runs_of_unicode_blanks_are_one_piece():
+    rng = np.random.default_rng(4)
+    parts = [" ", " ", "\u00a0", "\u3000", "\u2003", "\u1680", "\u0085", "a", "\u00e9", "\u3042", "\u201c", "\n"]
+    texts = ["a" + " \u00a0" * 3 + " x"] + ["".join(rng.choice(parts, 30)) for _ in range(400)]
+    raw = [t.encode() for t in texts]
+    ids, sizes = S.Encoder(S.tokenizer_path()).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    library = Tokenizer.from_file(S.tokenizer_path())
+    assert list(ids[:sizes[0]]) == [64, 11504, 5624, 2124]
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
