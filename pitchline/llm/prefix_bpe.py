@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -13,27 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchline.llm.common import small_batches, table
+from pitchline.llm.parts import Parts
 from pitchline.llm.registry import register
+from pitchline.llm.text import list_column, slices
 
 NEVER = float("inf")
-#: A text is handed to the pattern in parts of about so many characters.
-PART = 1 << 20
-#: A single space between a visible character and a letter always begins a piece.
-_SEAM = regex.compile(r"(?<=\S) (?=[A-Za-z])")
+#: The pattern whose pieces begin where ``Parts`` cuts. Its blanks are those of Unicode, which take no control separators in.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
 class Vocabulary:
     """Ranks of byte strings. A token's rank is its id and the order in which its last merge is done."""
 
-    PAIRS = 2_000_000                                   # answers remembered; beyond it the memory starts anew
+    PAIRS = 1_000_000                                   # answers remembered; beyond it the memory starts anew
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.bytes_of = ranks, {rank: token for token, rank in ranks.items()}
-        #: A match to the left of a place can only go on through these.
-        self.tails = {token[i:] for token in ranks for i in range(1, len(token))}
         self.longest = max(map(len, ranks), default=1)
         self._split: dict[int, tuple[int, int] | None] = {}
-        self._meet: dict[tuple[int, int], bool] = {}
+        self._meet: dict[int, bool] = {}
+        #: Tokens that merging makes, and -1 for what is only the end of one: a match to the left of a place goes on through these.
+        self.ends = {token[i:]: -1 for token in ranks for i in range(1, len(token))}
+        self.ends.update((token, rank) for token, rank in ranks.items() if self.made(rank))
 
     def _merged(self, data: bytes) -> list[bytes]:
         """Plain merging, lowest rank first and leftmost among equals, but for the merge that would leave one part."""
@@ -61,14 +67,6 @@ class Vocabulary:
         Both grow by their own merges until a merge across the seam comes first. So the tokens at the seam are taken back to their
         halves, last made first; at each pair the merge across it must come after the merge that takes up one of them.
         """
-        key = (a, b)
-        if key not in self._meet:
-            if len(self._meet) >= self.PAIRS:
-                self._meet.clear()
-            self._meet[key] = self._apart(a, b)
-        return self._meet[key]
-
-    def _apart(self, a: int, b: int) -> bool:
         taken_a = taken_b = NEVER
         made = lambda token: -1 if len(self.bytes_of[token]) == 1 else token
         while True:
@@ -82,6 +80,28 @@ class Vocabulary:
             else:
                 return True
 
+    def extend(self, data: bytes, last: list[int], stop: int) -> None:
+        """Add to ``last``, the last tokens of the prefixes known so far, those of the prefixes up to ``stop`` bytes."""
+        ends, meet = self.ends.get, self._meet
+        if len(meet) > self.PAIRS:
+            meet.clear()
+        for end in range(len(last) + 1, stop + 1):
+            for begin in range(end - 1, -1, -1):
+                token = ends(data[begin:end])
+                if token is None:
+                    raise ValueError("the vocabulary lacks a byte or a prefix has no last token")
+                if token >= 0:
+                    if not begin:
+                        break
+                    before = last[begin - 1]
+                    pair = before << 32 | token
+                    fits = meet.get(pair)
+                    if fits is None:
+                        fits = meet[pair] = self.apart(before, token)
+                    if fits:
+                        break
+            last.append(token)
+
 
 class Prefixes:
     """A byte string and, for each of its prefixes, the last token of that prefix's encoding."""
@@ -90,22 +110,17 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _last_of(self, end: int) -> int:
-        v, data = self.vocabulary, self.data
-        for begin in range(end - 1, -1, -1):
-            part = data[begin:end]
-            token = v.ranks.get(part)
-            if token is not None and v.made(token) and (not begin or v.apart(self.last[begin - 1], token)):
-                return token
-            if part not in v.tails:
-                break
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, data: bytes) -> None:
         """Exact: the prefixes known so far stay as they are."""
-        at, self.data = len(self.data), self.data + data
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._last_of(end))
+        self.data += data
+        self.vocabulary.extend(self.data, self.last, len(self.data))
+
+    def become(self, data: bytes) -> None:
+        """Another byte string; the answers for the prefixes that both have stay."""
+        same = len(commonprefix((self.data, data)))
+        del self.last[same:]
+        self.data = data
+        self.vocabulary.extend(data, self.last, len(data))
 
     def replace(self, low: int, high: int, data: bytes) -> int:
         """Put ``data`` in place of the bytes from ``low`` to ``high``; returns how many prefixes were looked at.
@@ -117,7 +132,7 @@ class Prefixes:
         self.data = self.data[:low] + data + self.data[high:]
         self.last, same = old[:low], 0
         for end in range(low + 1, len(self.data) + 1):
-            self.last.append(self._last_of(end))
+            self.vocabulary.extend(self.data, self.last, end)
             same = same + 1 if end > low + len(data) and self.last[-1] == old[end - 1 - moved] else 0
             if same >= self.vocabulary.longest:
                 self.last += old[end - moved:]
@@ -133,45 +148,29 @@ class Prefixes:
         return out[::-1]
 
 
-class _Pieces(dict):
-    """Ids by piece; a piece not met before is encoded."""
-
-    LIMIT, LONG = 500_000, 200
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> list[int]:
-        data = piece.encode()
-        known = self.vocabulary.ranks.get(data)         # a whole piece that is a token needs no merges
-        ids = [known] if known is not None else Prefixes(self.vocabulary, data).ids()
-        if len(piece) <= self.LONG:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[piece] = ids
-        return ids
-
+class Encoder(Parts):
+    """Each match of the pattern by itself, as ranks say."""
 
-class Encoder:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.vocabulary = Vocabulary(ranks)
-        self.pieces, self.pattern = _Pieces(self.vocabulary), regex.compile(pattern)
-
-    def parts(self, text: str) -> Iterator[str]:
-        low = 0
-        while len(text) - low > PART and (seam := _SEAM.search(text, low + PART)):
-            yield text[low:seam.start()]
-            low = seam.start()
-        yield text[low:]
-
-    def encode(self, text: str) -> np.ndarray:
-        found, of = [], self.pieces.__getitem__
-        for part in self.parts(text):
-            found.append(np.array(list(chain.from_iterable(map(of, self.pattern.findall(part)))), np.int32))
-        return found[0] if len(found) == 1 else np.concatenate(found)
+        self.vocabulary, self.pattern = Vocabulary(ranks), compiled(pattern)
+        super().__init__(self._pieces, pattern == USUAL)
+
+    def _pieces(self, parts: list[bytes]) -> list[list[int]]:
+        split = [self.pattern.findall(part.decode()) for part in parts]
+        found, held = {}, Prefixes(self.vocabulary)
+        for piece in sorted(set(chain.from_iterable(split))):   # in order, a piece goes on from the prefixes that it shares with the one before
+            data = piece.encode()
+            known = self.vocabulary.ranks.get(data)             # a whole piece that is a token needs no merges
+            if known is None:
+                held.become(data)
+            found[piece] = held.ids() if known is None else [known]
+        return [list(chain.from_iterable(map(found.__getitem__, pieces))) for pieces in split]
+
+    def ids(self, text: str) -> list[int]:
+        raw = text.encode()
+        return self.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -206,15 +205,9 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            held, size, low = [], 0, 0
-            for i, text in enumerate(batch.column(1)):
-                held.append(own.encode(text.as_py() or ""))
-                size += len(held[-1])
-                if size >= PART or i + 1 == len(batch):
-                    offsets = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[low:i + 1], ids], ["doc_id", "ids"])
-                    held, size, low = [], 0, i + 1
+            for low, high, data, bounds in slices(batch.column(1)):
+                ids, sizes = own.encode(data, bounds)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], list_column(ids.view(np.int32), sizes, pa.int32())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")

@@ -45,7 +45,7 @@ def test_odd_documents_and_empty_tables(spark):
 
 
 TEXTS = ["", " ", "a  b", "aaaaaaaaaaaa", "'s 'll don't", "<|endoftext|>", "a   b　 c", "x" * 3000, "ab" * 999, " " * 500 + "z",
-         "\r\n\r\n\t\tfoo(); // bar", "日本語のテキスト", "🙂🙃" * 30, "1234567890" * 9, "\x00\x1f\x7f", "é́ñ", "=" * 700, "\n" * 300]
+         "\r\n\r\n\t\tfoo(); // bar", "日本語のテキスト", "🙂🙃" * 30, "1234567890" * 9, "\x00\x1f\x7f", "a\x1c\x1d b \x1e\x1e c\x85\x85 d", "é́ñ", "=" * 700, "\n" * 300]
 
 
 def test_texts_of_all_kinds():
@@ -54,22 +54,27 @@ def test_texts_of_all_kinds():
     noise = ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(160, 0x3000), 0x20, 0x1F600 + rng.randrange(60))))
                      for _ in range(rng.randrange(400))) for _ in range(150)]
     for text in TEXTS + noise:
-        assert OWN.encode(text).tolist() == ONE.encode_ordinary(text)
-        assert multi.encode(text).tolist() == MANY.encode_ordinary(text)
-        assert OWN.decode(OWN.encode(text).tolist()) == text.encode()
+        assert OWN.ids(text) == ONE.encode_ordinary(text)
+        assert multi.ids(text) == MANY.encode_ordinary(text)
+        assert OWN.decode(OWN.ids(text)) == text.encode()
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab the 'sé1.\n", max_size=60))
 def test_small_alphabet(text):
-    assert OWN.encode(text).tolist() == ONE.encode_ordinary(text)
-
-
-def test_long_texts_are_cut_where_a_piece_begins(monkeypatch):
-    monkeypatch.setattr(B, "PART", 50)
-    text = "one two  three 4 five's six\n seven  eight " * 40
-    assert len(list(OWN.parts(text))) > 10
-    assert OWN.encode(text).tolist() == ONE.encode_ordinary(text)
+    assert OWN.ids(text) == ONE.encode_ordinary(text)
+
+
+def test_other_patterns_and_a_small_memory(monkeypatch):
+    pattern = r"\S+|\s"
+    ranks = {v: k for k, v in OWN.vocabulary.bytes_of.items()}
+    theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    mine = B.Encoder(B.public_vocabulary()[0], pattern)
+    monkeypatch.setattr(B.Encoder, "LIMIT", 3)
+    for text in TEXTS + ["one two\x1cthree\x1f four's 5six seven-eight\n\nnine"] * 2:
+        assert mine.ids(text) == theirs.encode_ordinary(text)
+        assert OWN.ids(text) == ONE.encode_ordinary(text)
+    assert len(mine.number) < 50
 
 
 def test_every_token_in_front_of_others():
