@@ -1,23 +1,23 @@
-"""Operator 6: token ids in word-aligned Simple-8b files, written by the executors and read back."""
+"""Operator 6: token ids in word-aligned Simple-8b files, written by Spark and read back."""
 
 from __future__ import annotations
 
+import json
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchline.llm.common import small_batches, table
+from pitchline.llm.parts import Parts
 from pitchline.llm.registry import register
-from pitchline.llm.text import SLICE, ragged, range_hashes, slices
+from pitchline.llm.text import SLICE, slices
 from pitchline.session import scratch_path
 
 # --- coding: a 64-bit word is a 4-bit selector and 60 bits that hold COUNT values of WIDTH bits each -----------------
@@ -143,69 +143,28 @@ class Reader:
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
-#: Bytes that begin a character which the pre-tokenizer may take for a blank: the ASCII blanks and controls, and the lead bytes of
-#: U+0085, U+00A0, U+1680, U+180E, U+2000 to U+205F and U+3000. Other characters with these lead bytes are only not cut before.
-_MAY_BE_BLANK = np.zeros(256, bool)
-_MAY_BE_BLANK[[*range(0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+class Encoder(Parts):
+    """Ids of whole texts, the same as the library's plain call on each.
 
-
-class Encoder:
-    """Ids of whole texts. A text falls apart before every single space in front of a character that is no blank in Unicode,
-    since the byte-level pre-tokenizer always begins a piece there; each distinct part is encoded once by the library."""
-
-    LIMIT = 1_000_000                                  # parts remembered; beyond it the memory starts anew
+    Added tokens (such as ``<|endoftext|>``) stay what they are to the library: a text that holds one is encoded whole, as are all texts
+    where the pre-tokenizer isn't the usual byte-level one.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[int, int] = {}
-        self.first, self.size, self.store, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
-
-    def _learn(self, hashes: list[int], parts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        size = np.array([len(i) for i in found], np.int64)
-        flat = np.array([t for i in found for t in i], np.uint32)
-        if self.used + len(flat) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(len(self.store) + len(flat), np.uint32)])
-        self.store[self.used:self.used + len(flat)] = flat
-        self.number.update(zip(hashes, range(len(self.size), len(self.size) + len(size))))
-        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.used += len(flat)
-
-    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents of a slice, one after the other, and the number of ids of each."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
-        blank = _MAY_BE_BLANK[data]
-        begin = np.zeros(len(data) + 1, bool)
-        begin[:len(data) - 1] = (data[:-1] == 0x20) & ~blank[1:]
-        last = bounds[1:][bounds[1:] > 0] - 1
-        begin[last] = False                            # a text's last space stands in front of nothing
-        begin[bounds] = True
-        edges = np.flatnonzero(begin)
-        starts, ends = edges[:-1], edges[1:]
-        keys, at, inverse = np.unique(range_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends),
-                                      return_index=True, return_inverse=True)
-        if len(self.number) > self.LIMIT:
-            self._clear()
-        listed = keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.number]
-        if new:
-            raw = data.tobytes()
-            self._learn([listed[i] for i in new], [raw[starts[a]:ends[a]].decode("utf-8", "replace") for a in at[new]])
-        number = self.number
-        of = np.array([number[k] for k in listed], np.int64)[inverse]
-        sizes = self.size[of]
-        ids = self.store[ragged(self.first[of], sizes)]
-        owner = np.searchsorted(bounds, starts, "right") - 1
-        return ids, np.bincount(owner, sizes, len(bounds) - 1).astype(np.int64)
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        before = described.get("pre_tokenizer") or {}
+        usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        super().__init__(self._library, usual and not described.get("normalizer"),
+                         [t["content"].encode() for t in described.get("added_tokens") or []])
+
+    def _library(self, parts: list[bytes]) -> list[list[int]]:
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -220,16 +179,16 @@ def encoder(path: str) -> Encoder:
 
 # --- files -----------------------------------------------------------------------------------------------------------
 
-_MANIFEST = "path string, part int, seq int, n_docs long, n_ids long"
+_FILES = "part int, seq int, first long, n_docs long, n_ids long, content binary"
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_ids: int = 4_000_000) -> DataFrame:
-    """Encode ``docs`` into files of about ``file_ids`` ids under ``folder`` (a URI that every executor reaches) and return their manifest.
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_ids: int = 250_000) -> DataFrame:
+    """Encode ``docs`` into token files of about ``file_ids`` ids and return them, one row each (``content`` holds the bytes).
 
     Documents stand in ascending ``doc_id`` order over all files (nulls first; rows repeated under one id in order of their
     text) and end with ``end_id``. A null text is empty. The texts are dealt out by ranges of ``doc_id``; a task holds one file
-    at a time. A file's name is new for every attempt and the manifest is written by Spark's commit, so a lost or
-    repeated task leaves at most files that no manifest lists.
+    at a time. The files are the rows of a Parquet table under ``folder``, so any store that Spark writes to will do and
+    Spark's commit decides which attempt counts. ``first`` is the number of ids before a file in its ``part``.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -237,62 +196,59 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_id
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base)
-        own, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, seq, first = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
+            nonlocal seq, first
             doc_ids, known, sizes, ids = (np.concatenate(x) for x in zip(*held))
-            path = f"{base}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.s8b"
-            with store.open_output_stream(path) as out:
-                out.write(to_bytes(doc_ids, known, np.cumsum(sizes), ids))
             held.clear()
-            return pa.RecordBatch.from_pylist([{"path": path, "part": part, "seq": seq, "n_docs": len(sizes), "n_ids": len(ids)}],
-                                              pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()),
-                                                         ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first]), pa.array([len(sizes)]), pa.array([len(ids)]),
+                 pa.array([to_bytes(doc_ids, known, np.cumsum(sizes), ids)], pa.binary())],
+                ["part", "seq", "first", "n_docs", "n_ids", "content"])
+            seq, first = seq + 1, first + len(ids)
+            return row
 
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for low, high, data, bounds in slices(batch.column(1), min(SLICE, 2 * file_ids)):
+            for low, high, data, bounds in slices(batch.column(1), min(SLICE, 4 * file_ids)):
                 ids, sizes = own.encode(data, bounds)
                 out = np.full(len(ids) + high - low, end_id, np.uint64)
                 out[np.arange(len(ids)) + np.repeat(np.arange(high - low), sizes)] = ids
                 held.append((doc_ids[low:high], known[low:high], sizes + 1, out))
                 if sum(len(h[3]) for h in held) >= file_ids:
                     yield flush()
-                    seq += 1
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, _MANIFEST).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/manifest")
-    return spark.read.schema(_MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
+    ordered.mapInArrow(run, _FILES).write.mode("overwrite").parquet(folder)
+    return spark.read.schema(_FILES).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document of the files under ``folder``: ``doc_id``, ``start`` (ids before it), ``n_tokens``, ``ids_crc32`` (of its ids as
-    little-endian unsigned 32-bit integers). The manifest has one row per file, so its running sum is a small table."""
-    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
-    dealt = starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    """Per document of the token files under ``folder``: ``doc_id``, ``start`` (ids before it), ``n_tokens``, ``ids_crc32`` (of its ids as
+    little-endian unsigned 32-bit integers). Only the totals of parts are ordered together, one row per task that wrote."""
+    files = spark.read.schema(_FILES).parquet(folder)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("all")) \
+        .select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+    placed = files.join(parts, "part").select((F.col("base") + F.col("first")).alias("start"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for row in batch.to_pylist():
-                with store.open_input_stream(row["path"]) as file:
-                    reader = Reader(file.read())
+            for start, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                reader = Reader(content.as_py())
                 ids = reader.ids().astype("<u4")
                 ends = reader.ends.astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(reader.doc_ids, pa.int64(), mask=reader.known == 0), pa.array(row["start"] + begins),
+                    [pa.array(reader.doc_ids, pa.int64(), mask=reader.known == 0), pa.array(start + begins),
                      pa.array(ends - begins), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

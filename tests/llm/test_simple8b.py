@@ -34,7 +34,6 @@ def test_words_hold_as_many_values_as_fit():
 
 def brute(docs):
     tokenizer = Tokenizer.from_file(S.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text in docs:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -68,8 +67,8 @@ def test_edges(spark):
 
 def test_small_files_and_memory_of_parts(spark, tmp_path, monkeypatch):
     docs = sorted((r[0], r[1]) for r in rows(spark))[:60]
-    S.write(documents(spark, docs), f"file://{tmp_path}/out", S.tokenizer_path(), file_ids=500)
-    assert len(list((tmp_path / "out").glob("*.s8b"))) > 5
+    files = S.write(documents(spark, docs), f"file://{tmp_path}/out", S.tokenizer_path(), file_ids=500)
+    assert files.count() > 5 and all(bytes(r.content[:4]) == S.MAGIC for r in files.collect())
     assert sorted(tuple(r) for r in S.read(spark, f"file://{tmp_path}/out").collect()) == brute(docs)
 
 
@@ -82,3 +81,25 @@ def test_runs_of_unicode_blanks_are_one_piece():
     library = Tokenizer.from_file(S.tokenizer_path())
     assert list(ids[:sizes[0]]) == [64, 11504, 5624, 2124]
     assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_parts_are_known_by_their_bytes():
+    """Words of equal length that any polynomial hash modulo a power of two confuses: the Thue-Morse word and its complement."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "x<|endoftext|>", "a <|endoftext|>b", "foo's it'll 12ab34 c.d\n\ne  f \n g  ",
+             "end  ", "x ", "next"]
+    raw = [t.encode() for t in texts]
+    ids, sizes = S.encoder(S.tokenizer_path()).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    library = Tokenizer.from_file(S.tokenizer_path())
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aB1'. s\n\t\u00a0\u00e9<|>", max_size=25), min_size=1, max_size=4))
+def test_cuts_against_the_library(texts):
+    raw = [t.encode() for t in texts]
+    ids, sizes = S.encoder(S.tokenizer_path()).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    library = S.encoder(S.tokenizer_path()).tokenizer
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
