@@ -54,6 +54,43 @@ def test_links_connect_all_within_two_bits(spark):
     assert groups(union.find) == groups(want.get)
 
 
+def test_crowded_segments_lose_no_link(spark, monkeypatch):
+    """Thousands of fingerprints that share a half, some within two bits of others: every link is found, at every depth."""
+    random.seed(3)
+    half, values = random.getrandbits(32) << 32, set()
+    for _ in range(30):
+        base = half | random.getrandbits(32)
+        values |= {base ^ sum(1 << b for b in random.sample(range(64), random.randrange(4))) for _ in range(12)}
+    values |= {half ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    frame = spark.createDataFrame([(s,) for s in signed], "fp long")
+    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1:] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    for crowded in (1, 8, 10 ** 6):
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        got = [(r.a, r.b) for r in simhash.links(frame).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    for bits in (0, 1, 3):
+        want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1:] if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
+        assert {(r.a, r.b) for r in simhash.links(frame, bits).collect()} == want
+
+
+def test_rows_without_an_id_stay_apart(spark):
+    """Two nameless rows, each a copy of another document, join nothing but their own."""
+    one, two = "alpha beta gamma delta epsilon zeta", "uno dos tres cuatro cinco seis siete"
+    lone = "nine ten eleven twelve thirteen"
+    docs = documents(spark, [(5, one), (9, two), (None, one), (None, two), (None, lone), (None, lone + " more of it")])
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == [(5, 5), (9, 9), (None, 5), (None, 9), (None, None), (None, None)]
+    close = [p - (1 << 64) if p >> 63 else p for p in (brute_fingerprint(one), brute_fingerprint(two))]
+    frame = spark.createDataFrame([(5, close[0]), (9, close[1]), (None, close[0] ^ 1), (None, close[1] ^ 1)], "doc_id long, fp long")
+    original, simhash.fingerprints = simhash.fingerprints, lambda *a: frame
+    try:
+        got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    finally:
+        simhash.fingerprints = original
+    assert got == [(5, 5), (9, 9), (None, 5), (None, 9)]
+
+
 def test_components_of_paths_and_random_graphs(spark):
     random.seed(2)
     edges = [(i, i + 1) for i in range(300)] + [(1000 + random.randrange(80), 1000 + random.randrange(80)) for _ in range(60)]
