@@ -1,7 +1,7 @@
 import corpus_pipeline as C
 from pitchline.llm import resampling
 from tests.llm.helpers import SF_DIR, edge_documents
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_near_copies import brute as brute_near_copies
 from tests.llm.test_simple8b import brute as brute_tokens
 
 
@@ -17,8 +17,7 @@ def test_stages_against_brute_force(spark):
             scored = resampling.resample(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet")).filter("kept").collect()
             assert set(after) == {r.doc_id for r in scored}
         if name == "near_dedup":
-            found = brute_components([(i, brute_fingerprint(t)) for i, t in sorted(before.items())])
-            assert set(after) == set(found.values())
+            assert set(after) == brute_near_copies(sorted(before.items()))
         if name == "decontaminate":
             items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
             holds = {i for i, t in before.items() if any(x in " ".join(t.split()) for x in items)}
