@@ -21,6 +21,7 @@ FOLDS = 2
 FINE = 256
 #: Places of the grids inside a step.
 GRID = 4096
+_PACK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -98,6 +99,22 @@ def bucket_counts(docs: DataFrame, target_ids: np.ndarray, bits: int) -> DataFra
     return sent.groupBy("at").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 
 
+def _fetched(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Target and raw counts of all places below ``size``, packed by the executors so that the driver gets arrays and not rows."""
+    def packed(key, rows):
+        import pandas as pd
+
+        table = np.zeros((2, _PACK), np.int64)
+        table[:, rows["at"].to_numpy() % _PACK] = rows["target"].to_numpy(), rows["raw"].to_numpy()
+        return pd.DataFrame({"slot": [key[0]], "counts": [table.tobytes()]})
+
+    parts = counts.groupBy(F.floor(F.col("at") / _PACK).alias("slot")).applyInPandas(packed, "slot long, counts binary").collect()
+    out = np.zeros((2, -(-size // _PACK) * _PACK), np.int64)
+    for slot, part in parts:
+        out[:, slot * _PACK:(slot + 1) * _PACK] = np.frombuffer(part, np.int64).reshape(2, _PACK)
+    return out[0, :size], out[1, :size]
+
+
 def log_ratios(at: np.ndarray, target: np.ndarray, raw: np.ndarray, settings: Settings) -> np.ndarray:
     """FOLDS x buckets: log of the target model over the raw model, each fold's from the other folds' counts."""
     counts = np.zeros((2, FOLDS, 1 << settings.bits))
@@ -141,8 +158,9 @@ def weights(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     """
     spark, ids = docs.sparkSession, target_ids(labels, settings)
     small_batches(spark)
-    counts = bucket_counts(docs, ids, settings.bits).toPandas()
-    ratios = spark.sparkContext.broadcast(log_ratios(*(counts[c].to_numpy(np.int64) for c in ("at", "target", "raw")), settings))
+    size = FOLDS << settings.bits
+    target, raw = _fetched(bucket_counts(docs, ids, settings.bits), size)
+    ratios = spark.sparkContext.broadcast(log_ratios(np.arange(size), target, raw, settings))
     bits, seed = settings.bits, settings.seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
