@@ -117,8 +117,7 @@ SELECT league, season, p, q, round(s, 4) AS s FROM (
 WHERE abs(s) > 1e-7""", "design", "design_yw"))
 def weighted_sums(spark, d):
     keys = ("league", "season")
-    rows = ridge.in_chunks(materialize(design.design_rows(all_stints(spark, d), keys), "design"), keys, ["game_id", "start"])
-    sums = ridge.gram_sums(rows, keys).filter(F.abs("s") > 1e-7)
+    sums = ridge.gram_sums(design.design_rows(all_stints(spark, d), keys), keys).filter(F.abs("s") > 1e-7)
     code = lambda c: F.when(F.col(c) == ridge.TARGET, -5).when(F.col(c) == ridge.INTERCEPT, -4).otherwise(short_code(c)).alias(c)
     return sums.select(*keys, code("p"), code("q"), (F.round("s", 4) + 0.0).alias("s"))
 
