@@ -229,12 +229,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, file_id
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the token files under ``folder``: ``doc_id``, ``start`` (ids before it), ``n_tokens``, ``ids_crc32`` (of its ids as
-    little-endian unsigned 32-bit integers). Only the totals of parts are ordered together, one row per task that wrote."""
+    little-endian unsigned 32-bit integers). Only the totals of parts are ordered together and broadcast, one row of two numbers per task
+    that wrote."""
     files = spark.read.schema(_FILES).parquet(folder)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("all")) \
         .select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
-    placed = files.join(parts, "part").select((F.col("base") + F.col("first")).alias("start"), "content")
+    placed = files.join(F.broadcast(parts), "part").select((F.col("base") + F.col("first")).alias("start"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
