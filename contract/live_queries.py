@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contract import tables as T
+from contract.rating_queries import rated_rows, rated_sql, season_sql
 from contract.registry import register, rounded
 from contract.sql import cte, query
 from contract.stint_queries import readable
 from pitchline.session import scratch_path
 from pitchline.sources.feed import stream_payloads
 from pitchline import schemas
-from pitchline.streaming import jobs, state, windows
+from pitchline.operators import seasons
+from pitchline.streaming import jobs, live_state, state, windows
 from pitchline.streaming import normalize as N
 
 
@@ -63,26 +65,12 @@ def feed_dict(spark, d):
             "statistics": T.feed_statistics(spark, d)}
 
 
-_DONE: dict[tuple, str] = {}
-
-
-def once(build):
-    """Folder filled by ``build``, shared by the queries of one session that read it."""
-    def shared(spark, d):
-        key = (build.__name__, spark.sparkContext.applicationId, d)
-        if key not in _DONE:
-            root = scratch_path(spark, build.__name__)
-            build(spark, d, root)
-            _DONE[key] = root
-        return _DONE[key]
-    return shared
-
-
-@once
-def published(spark, d, base):
+def published(spark, d):
     """Payload files picked up by a stream that writes the raw payloads and the events in them."""
+    base = scratch_path(spark, "published")
     payloads(spark, d).write.text(f"{base}/landing")
     jobs.publish(stream_payloads(spark, f"{base}/landing"), f"{base}/raw", f"{base}/events", f"{base}/checkpoint", None).awaitTermination()
+    return base
 
 
 @register("published_events", query("SELECT match_id, minute, event_type, team_id, player_id, xg FROM live", "live"))
@@ -97,14 +85,14 @@ def published_raw(spark, d):
     return spark.read.text(f"{published(spark, d)}/raw").agg(F.count(F.lit(1)).alias("payloads"))
 
 
-@once
-def synced(spark, d, root):
+def synced(spark, d):
     """State after finished fixtures, then two rounds of live fixtures of which the second lists fewer."""
-    fixtures, parts = T.feed_fixtures(spark, d), feed_dict(spark, d)
+    root, fixtures, parts = scratch_path(spark, "synced"), T.feed_fixtures(spark, d), feed_dict(spark, d)
     live = fixtures.filter("fixture.status.short = '2H'")
     jobs.sync_finished(root, fixtures, parts)
     jobs.sync_live(root, live, parts)
     jobs.sync_live(root, live.filter("fixture.id % 8 = 3"), parts)
+    return root
 
 
 @register("state_fixtures", query("""
@@ -136,6 +124,17 @@ def current_ratings_from_state(spark, d):
         "league_id", "season", "player_id", "player", "position", "minutes", "rapm", "spm", "bpm", "epm")
 
 
+cte("state_player_rows", "SELECT league_id, season, p.* FROM player_rows p JOIN feed_fixtures f ON p.game_id = f.fixture_id WHERE status <> '2H'",
+    "player_rows", "feed_fixtures")
+season_sql("state_player_rows", "league_id, season", seasons.FEED_METRICS, "state_season")
+
+
+@register("state_rating_rows", query(rated_sql("state_season_totals"), "state_season_totals", "fx_on_pitch"))
+def state_rating_rows(spark, d):
+    """Who is rated from the stored state, with what is known of them; epm is the sum of its parts."""
+    return rated_rows(jobs.current_ratings(spark, synced(spark, d)))
+
+
 @register("latest_record_per_key", """
 SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
   FROM orders) WHERE r = 1""")
@@ -214,3 +213,91 @@ def session_xg(spark, d):
     once_ = _event_stream(spark, d).filter("poll = 1")
     out = _drained(spark, windows.session_xg(once_, "10 minutes", "ts"), True)
     return out.select("match_id", F.unix_timestamp("window_start").alias("first_event"), (F.round("xg", 5) + 0.0).alias("xg"), "events")
+
+
+# --- several micro-batches: rows that come late, windows that close, fixtures that end --------------------------------
+
+LAST_BLOCK = 4
+cte("blocks", """SELECT *, (epoch(ts)::BIGINT // 86400 - 19723) // 6 AS block, (epoch(ts)::BIGINT // 86400 - 19723) % 6 AS day FROM events""")
+# of each block's first five days some events come two blocks later, which is too late, and some one block later, which is not
+cte("in_time", f"""SELECT user_id // 50 AS match_id, event_id, ts, event_type, value / 1000 AS xg, block FROM blocks
+  WHERE NOT (event_id % 20 = 11 AND block + 2 <= {LAST_BLOCK} AND day < 5)""", "blocks")
+cte("end_of_time", "SELECT max(ts) AS latest FROM events")
+
+
+def land_blocks(spark, d, path, blocks):
+    """The events of six days a file, one after the other, with those that come late in the file of a later block."""
+    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400) - 19723
+    block, in_block = F.floor(day / 6), day % 6
+    late = F.when((F.col("event_id") % 20 == 11) & (in_block < 5), 2).when((F.col("event_id") % 20 == 7) & (in_block < 5), 1).otherwise(0)
+    events = T.table(spark, d, "events").withColumn("file", F.when(block + late <= LAST_BLOCK, block + late).otherwise(block))
+    for k in blocks:
+        events.filter(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(path)
+
+
+def block_stream(spark, d, path):
+    stream = spark.readStream.schema(T.table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr("user_id div 50").alias("match_id"), "event_type",
+                         (F.col("value") / 1000).alias("xg"))
+
+
+@register("windowed_xg_closed", query("""
+SELECT match_id, epoch(time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k)::BIGINT AS window_start,
+  round(sum(xg), 5) AS xg, count(*) AS events FROM in_time, (SELECT unnest([0, 1]) AS k), end_of_time
+GROUP BY ALL HAVING time_bucket(INTERVAL 30 MINUTE, any_value(ts)) - INTERVAL 30 MINUTE * any_value(k) + INTERVAL 60 MINUTE
+  <= any_value(latest) - INTERVAL 10 MINUTE""", "in_time", "end_of_time"))
+def windowed_xg_closed(spark, d):
+    """Windows that the watermark has closed, over five micro-batches; events that come after their window closed don't count."""
+    path = scratch_path(spark, "blocks")
+    land_blocks(spark, d, path, range(LAST_BLOCK + 1))
+    out = _drained(spark, windows.windowed_xg(block_stream(spark, d, path), "60 minutes", "30 minutes", "ts"), False)
+    return out.select("match_id", F.unix_timestamp("window_start").alias("window_start"), (F.round("xg", 5) + 0.0).alias("xg"), "events")
+
+
+cte("spells", """SELECT *, sum(new::INT) OVER (PARTITION BY match_id ORDER BY ts, event_id) AS s FROM (
+  SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY match_id ORDER BY ts, event_id) >= INTERVAL 10 MINUTE, true) AS new FROM in_time)""", "in_time")
+
+
+@register("session_xg_closed", query("""
+SELECT match_id, floor(epoch(min(ts)))::BIGINT AS first_event, round(sum(xg), 5) AS xg, count(*) AS events FROM spells, end_of_time
+GROUP BY match_id, s HAVING max(ts) + INTERVAL 10 MINUTE <= any_value(latest) - INTERVAL 10 MINUTE""", "spells", "end_of_time"))
+def session_xg_closed(spark, d):
+    """Spells that the watermark has closed."""
+    path = scratch_path(spark, "blocks")
+    land_blocks(spark, d, path, range(LAST_BLOCK + 1))
+    out = _drained(spark, windows.session_xg(block_stream(spark, d, path), "10 minutes", "ts"), False)
+    return out.select("match_id", F.unix_timestamp("window_start").alias("first_event"), (F.round("xg", 5) + 0.0).alias("xg"), "events")
+
+
+cte("poll_spells", """SELECT *, sum(new::INT) OVER (PARTITION BY fixture_id ORDER BY ts, event_id) AS s FROM (
+  SELECT user_id AS fixture_id, event_id, ts, event_type, value / 1000 AS xg,
+    coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR, true) AS new FROM blocks
+  WHERE event_id % 20 <> 11 AND event_id % 20 <> 7)""", "blocks")
+
+
+@register("live_fixture_state", query("""
+SELECT fixture_id, epoch_us(min(ts)) AS first_poll, epoch_us(max(ts)) AS last_poll, count(*) AS polls, round(sum(xg), 5) AS xg,
+  (SELECT string_agg(event_type, ',' ORDER BY t, e) FROM (SELECT event_type, arg_min(i.event_id, i.ts) AS e, min(i.ts) AS t FROM poll_spells i
+     WHERE i.fixture_id = o.fixture_id AND i.s = o.s GROUP BY event_type)) AS kinds
+FROM poll_spells o, (SELECT max(ts) AS latest FROM poll_spells) GROUP BY fixture_id, s
+HAVING max(ts) + INTERVAL 6 HOUR <= any_value(latest) - INTERVAL 10 MINUTE""", "poll_spells"))
+def live_fixture_state(spark, d):
+    """Spells in which a fixture was polled, as keyed state over five micro-batches with a restart after the third."""
+    base = scratch_path(spark, "live-state")
+    for key, value in live_state.STATE_STORE.items():
+        spark.conf.set(key, value)
+    try:
+        for blocks in (range(3), range(3, LAST_BLOCK + 1)):
+            land_blocks(spark, d, f"{base}/landed", blocks)
+            stream = spark.readStream.schema(T.table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+            polls = stream.filter("event_id % 20 not in (7, 11)").select(
+                F.col("user_id").alias("fixture_id"), F.col("ts").cast("timestamp").alias("polled_at"), "event_type", "event_id",
+                (F.col("value") / 1000).alias("xg"))
+            spells = live_state.ended_spells(polls, "6 hours", "10 minutes")
+            windows.to_table(spells, f"{base}/table", f"{base}/checkpoint", None).awaitTermination()
+    finally:
+        for key in live_state.STATE_STORE:
+            spark.conf.unset(key)
+    return spark.read.parquet(f"{base}/table").select(
+        "fixture_id", F.unix_micros("first_poll").alias("first_poll"), F.unix_micros("last_poll").alias("last_poll"), "polls",
+        (F.round("xg", 5) + 0.0).alias("xg"), "kinds")

@@ -208,6 +208,57 @@ def rating_rows(spark, d):
                         parts.alias("epm_less_parts"))
 
 
+cte("fx_design", """SELECT DISTINCT league_id, season, CAST(unnest(string_split(home_players || ',' || away_players, ',')) AS BIGINT) AS feature
+  FROM fx_stints UNION SELECT DISTINCT league_id, season, -3 FROM fx_stints WHERE score_diff <> 0
+  UNION SELECT DISTINCT league_id, season, -2 FROM fx_stints WHERE red_home <> 0
+  UNION SELECT DISTINCT league_id, season, -1 FROM fx_stints WHERE red_away <> 0""", "fx_stints")
+cte("fx_on_pitch", "SELECT league_id, season, feature AS player_id FROM fx_design WHERE feature >= 0", "fx_design")
+cte("fx_eligible", """SELECT league_id, season FROM feed_season_totals JOIN fx_on_pitch USING (league_id, season, player_id)
+  WHERE minutes >= 300 GROUP BY ALL HAVING count(*) >= 2""", "feed_season_totals", "fx_on_pitch")
+
+
+@register("feed_rating_gradients", query(f"""
+SELECT league_id, season, model, feature, 0.0::DOUBLE AS gradient FROM (
+  SELECT league_id, season, 'rapm' AS model, feature FROM fx_design
+  UNION ALL SELECT league_id, season, 'bpm', feature FROM fx_design WHERE feature >= 0
+  UNION ALL SELECT DISTINCT league_id, season, unnest(['rapm', 'bpm']), -4 FROM fx_design
+  UNION ALL SELECT league_id, season, 'spm', unnest(list_concat(range({len(seasons.FEED_METRICS)}), [-4])) FROM fx_eligible)""",
+                                        "fx_design", "fx_eligible"))
+def feed_rating_gradients(spark, d):
+    """The three fits of the feed form are at their minimum: each slope is 0, taken from the rows themselves."""
+    keys = ("league_id", "season")
+    stints = materialize(feed.build_feed_stints(*feed_parts(spark, d)), "stints")
+    run = ratings.rating_run(stints, feed_player_rows(spark, d), keys, seasons.FEED_METRICS, 300, roster="both")
+    slopes = ratings.optimality(run, keys).filter("feature < 0 or model = 'spm' or gradient is not null")
+    feature = F.when(F.col("feature") == ridge.INTERCEPT, -4).otherwise(short_code("feature"))
+    slopes = slopes.select(*keys, "model", feature.alias("feature"), (F.round("gradient", 3) + 0.0).alias("gradient"))
+    used = ridge.gram_sums(design.design_rows(stints, keys), keys).filter(F.col("p") == F.col("q")).select(*keys, short_code("q").alias("feature"))
+    context = F.col("feature").isin(-1, -2, -3) & (F.col("model") != "spm")
+    return slopes.filter(~context).unionByName(slopes.filter(context).join(used, [*keys, "feature"], "left_semi").select(*slopes.columns))
+
+
+def rated_sql(totals: str) -> str:
+    """Everyone with player rows or a stint, in the league-seasons that have stints."""
+    return f"""SELECT league_id, season, player_id, coalesce(player, 'Unknown') AS player, coalesce(position, 'UNK') AS position,
+  coalesce(minutes, 0.0) AS minutes, o.p IS NULL AS without_stint, 0.0::DOUBLE AS epm_less_parts
+FROM {totals} FULL JOIN (SELECT *, player_id AS p FROM fx_on_pitch) o USING (league_id, season, player_id)
+WHERE (league_id, season) IN (SELECT (league_id, season) FROM fx_on_pitch)"""
+
+
+def rated_rows(rated):
+    bad = F.col("rapm").isNull() & (F.col("bpm") != 0)
+    parts = F.round(F.col("epm") - F.col("spm") - F.col("bpm") + F.when(bad, 1.0).otherwise(0.0), 9) + 0.0
+    return rated.select("league_id", "season", "player_id", "player", "position", "minutes", F.col("rapm").isNull().alias("without_stint"),
+                        parts.alias("epm_less_parts"))
+
+
+@register("feed_rating_rows", query(rated_sql("feed_season_totals"), "feed_season_totals", "fx_on_pitch"))
+def feed_rating_rows(spark, d):
+    """Players of the feed's stints and of its player rows are rated; without a stint rapm is null and bpm 0; epm is the sum of its parts."""
+    stints = materialize(feed.build_feed_stints(*feed_parts(spark, d)), "stints")
+    return rated_rows(ratings.rate_from_feed(stints, feed_player_rows(spark, d)))
+
+
 def _box_ratings(spark, d):
     """Ratings with a closed form, to compare what follows the fits."""
     stats = seasons.season_totals(T.appearances(spark, d))

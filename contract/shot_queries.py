@@ -103,11 +103,20 @@ def player_goals_minus_xg(spark, d):
     return rounded(shot_volume.goals_minus_xg(T.shots(spark, d)))
 
 
-@register("shot_volume_correlation", query("""
-SELECT round(corr(xg_per_shot, shots_per_game), 6) AS r, count(*) AS n FROM volume""", "volume"))
+def p_sql(r: str, nu: str) -> str:
+    """Two-sided p-value of a correlation with whole ``nu`` degrees of freedom, by the finite sums for Student's distribution."""
+    term = f"(SELECT coalesce(sum(t), 0) FROM (SELECT exp(sum(ln({{ratio}})) OVER (ORDER BY j)) * pow(1 - {r} * {r}, j) AS t " \
+           f"FROM (SELECT unnest(range(1, (({nu} - {{last}}) // 2 + 1)::BIGINT)) AS j)))"
+    even = f"abs({r}) * (1 + {term.format(ratio='(2 * j - 1) / (2.0 * j)', last=2)})"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * (1 + {term.format(ratio='2.0 * j / (2 * j + 1)', last=3)}))"
+    return f"round(1 - CASE WHEN {nu} % 2 = 0 THEN {even} WHEN {nu} = 1 THEN 2 / pi() * asin(abs({r})) ELSE {odd} END, 6)"
+
+
+@register("shot_volume_correlation", query(f"""
+SELECT round(r, 6) AS r, n, {p_sql("r", "(n - 2)")} AS p FROM (SELECT corr(xg_per_shot, shots_per_game) AS r, count(*) AS n FROM volume)""", "volume"))
 def shot_volume_correlation(spark, d):
     table = shot_volume.xg_per_shot_table(T.shots(spark, d), T.appearances(spark, d))
-    return rounded(finishing.linear_fit(table, "xg_per_shot", "shots_per_game").select("r", "n"))
+    return rounded(finishing.linear_fit(table, "xg_per_shot", "shots_per_game").select("r", "n", "p"))
 
 
 # --- chance quality -------------------------------------------------------------------------------------------
@@ -217,20 +226,22 @@ def true_xg_log_loss(spark, d):
     return rounded(finishing.log_losses(finishing.true_xg_shots(T.shots(spark, d))))
 
 
-@register("finishing_vs_goals_fit", query("""
+@register("finishing_vs_goals_fit", query(f"""
+SELECT * REPLACE (round(r, 6) AS r), {p_sql("r", "(n - 2)")} AS p FROM (
 SELECT round(regr_slope(total_goals, finishing_coefficient), 6) AS slope,
   round(regr_intercept(total_goals, finishing_coefficient), 6) AS intercept,
-  round(corr(finishing_coefficient, total_goals), 6) AS r, round(regr_r2(total_goals, finishing_coefficient), 6) AS r_squared,
-  count(*) AS n FROM player_skill""", "player_skill"))
+  corr(finishing_coefficient, total_goals) AS r, round(regr_r2(total_goals, finishing_coefficient), 6) AS r_squared,
+  count(*) AS n FROM player_skill)""", "player_skill"))
 def finishing_vs_goals_fit(spark, d):
     s = T.shots(spark, d)
     return rounded(finishing.linear_fit(finishing.skill(shot_ops.counts_by(s)), "finishing_coefficient", "total_goals"))
 
 
-@register("true_xg_vs_goals_fit", query("""
-SELECT round(regr_slope(g, m), 6) AS slope, round(regr_intercept(g, m), 6) AS intercept, round(corr(m, g), 6) AS r,
+@register("true_xg_vs_goals_fit", query(f"""
+SELECT * REPLACE (round(r, 6) AS r), {p_sql("r", "(n - 2)")} AS p FROM (
+SELECT round(regr_slope(g, m), 6) AS slope, round(regr_intercept(g, m), 6) AS intercept, corr(m, g) AS r,
   round(regr_r2(g, m), 6) AS r_squared, count(*) AS n
-FROM (SELECT player_id, avg(true_xg) AS m, count(*) FILTER (result = 'Goal') AS g FROM true_shots GROUP BY player_id, player)""",
+FROM (SELECT player_id, avg(true_xg) AS m, count(*) FILTER (result = 'Goal') AS g FROM true_shots GROUP BY player_id, player))""",
                                       "true_shots"))
 def true_xg_vs_goals_fit(spark, d):
     table = finishing.true_xg_by_player(finishing.true_xg_shots(T.shots(spark, d)))

@@ -123,6 +123,39 @@ def mean_log_loss(p: Column | str, y: Column | str, eps: float = 2.2204460492503
     return F.avg(-(F.when(col(y) == 1, F.ln(q)).otherwise(F.ln(1 - q))))
 
 
+def log_gamma(z: Column, shift: int = 10) -> Column:
+    """Logarithm of the gamma function of positive values: Stirling's series at ``z + shift``, stepped back by the recurrence."""
+    far = z + F.lit(float(shift))
+    steps = z
+    for k in range(1, shift):
+        steps = steps * (z + F.lit(float(k)))
+    series = 1 / (12 * far) - 1 / (360 * F.pow(far, F.lit(3))) + 1 / (1260 * F.pow(far, F.lit(5))) - 1 / (1680 * F.pow(far, F.lit(7)))
+    return (far - 0.5) * F.ln(far) - far + F.lit(0.9189385332046727) + series - F.ln(steps)
+
+
+def beta_share(x: Column, a: Column, b: Column, terms: int = 400) -> Column:
+    """Regularised incomplete beta function of ``x`` in [0, 1], by its continued fraction taken from the far end.
+
+    The fraction converges fast up to the mean of the distribution; beyond it the other tail is taken.
+    """
+    def part(x: Column, a: Column, b: Column) -> Column:
+        def fraction(held: Column, k: Column) -> Column:
+            m = F.floor(k / 2)
+            even = m * (b - m) * x / ((a + k - 1) * (a + k))
+            odd = -(a + m) * (a + b + m) * x / ((a + k - 1) * (a + k))
+            return 1 + F.when(k % 2 == 0, even).otherwise(odd) / held
+
+        whole = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), F.lit(1.0), fraction)
+        return F.exp(a * F.ln(x) + b * F.ln(1 - x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)) / (a * whole)
+
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), part(x, a, b)).otherwise(1 - part(1 - x, b, a))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation (and of the slope of its regression) of ``n`` pairs; null for fewer than three."""
+    return F.when(n > 2, beta_share(F.greatest(F.lit(0.0), 1 - r * r), (n.cast("double") - 2) / 2, F.lit(0.5)))
+
+
 def utc_now_second() -> Column:
     return F.date_trunc("second", F.current_timestamp())
 

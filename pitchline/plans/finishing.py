@@ -52,9 +52,10 @@ def true_xg_by_player(adjusted: DataFrame) -> DataFrame:
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Slope, intercept, r and r squared of a one-variable regression."""
-    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-                  F.corr(x, y).alias("r"), F.regr_r2(y, x).alias("r_squared"), F.count(F.lit(1)).alias("n"))
+    """Slope, intercept, r, r squared and two-sided p-value of a one-variable regression."""
+    fit = df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+                 F.corr(x, y).alias("r"), F.regr_r2(y, x).alias("r_squared"), F.count(F.lit(1)).alias("n"), F.regr_count(y, x).alias("pairs"))
+    return fit.withColumn("p", S.correlation_p(F.col("r"), F.col("pairs"))).drop("pairs")
 
 
 def log_losses(adjusted: DataFrame) -> DataFrame:

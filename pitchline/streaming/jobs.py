@@ -115,8 +115,12 @@ def publish_to_topics(payloads: DataFrame, servers: str, checkpoint: str, raw_to
                       every: str = "10 seconds") -> StreamingQuery:
     """The same two streams as messages on a Kafka cluster (needs the Kafka connector on the class path)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        raw = batch.select(F.lit(raw_topic).alias("topic"), F.col("value").cast("string").alias("value"))
-        events = sinks.as_messages(normalize(batch), event_topic)
-        raw.unionByName(events).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+        kept = batch.persist()                         # read from its source once
+        try:
+            raw = kept.select(F.lit(raw_topic).alias("topic"), F.col("value").cast("string").alias("value"))
+            events = sinks.as_messages(normalize(kept), event_topic)
+            raw.unionByName(events).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+        finally:
+            kept.unpersist()
 
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -1,123 +1,66 @@
-"""Keyed state as Parquet tables partitioned by (league_id, season), one version of a partition at a time.
+"""Keyed state as Parquet tables partitioned by (league_id, season).
 
 A change rewrites only the partitions it touches: those of the new rows and those where the changed fixtures lie now, so a
 fixture whose league or season is corrected moves and leaves nothing behind, and rows without a league or season are kept
-like any other. Rewritten partitions go to a new ``version=`` folder; which folder holds which partition is said by the
-last file in ``_current``, written and then renamed as the last step. A writer that fails before that leaves the
-old state in force, and readers never see half of a change. One writer at a time: a second one fails at the rename.
+like any other. The new content of these partitions is computed by joins, written to the shared folder, and put in force by Spark's own
+partitioned overwrite in dynamic mode, which leaves all other partitions alone; a job that fails before its commit leaves the old
+state. One writer at a time. Replaying a batch gives the same state, also after a driver that died while the commit moved folders.
 
-Replaying a batch gives the same state. Every touched fixture leaves a marker row (no stint or player id), so that a fixture whose
-rows were all cleared is known; readers skip markers.
+Every touched fixture leaves a marker row (no stint or player id), so that a fixture whose rows were all cleared is known, and
+every rewritten partition a row without a fixture, so that one that lost its last fixture is overwritten too; readers skip both.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchline import schemas
 from pitchline.operators.feed import PLAYER_METRICS
 from pitchline.operators.stints import with_stint_index
-from pitchline.session import materialize, remove
+from pitchline.session import materialize
 
 PARTITION = ["league_id", "season"]
-_NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _store(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def _glob(spark: SparkSession, pattern: str) -> list[str]:
-    store, place = _store(spark, pattern)
-    return [status.getPath().toString() for status in store.globStatus(place) or []]
-
-
-def _current(spark: SparkSession, root: str, table: str) -> tuple[int, list[str]]:
-    """Number of the last committed change and the partition folders (relative to the table) in force."""
-    listed = sorted(_glob(spark, f"{root}/{table}/_current/change-*"))
-    if not listed:
-        return 0, []
-    store, place = _store(spark, listed[-1])
-    jvm = spark._jvm
-    reader, lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(place), "UTF-8")), []
-    try:
-        while (line := reader.readLine()) is not None:
-            lines.append(line)
-    finally:
-        reader.close()
-    return int(listed[-1].rsplit("-", 1)[1]), lines
-
-
-def _commit(spark: SparkSession, root: str, table: str, number: int, folders: list[str]) -> None:
-    target = f"{root}/{table}/_current/change-{number:012d}"
-    store, temporary = _store(spark, f"{root}/{table}/_current/.new-{uuid.uuid4().hex}")
-    out = store.create(temporary, True)
+def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+    empty = spark.createDataFrame([], schema)
     try:
-        out.write(bytearray("".join(f"{x}\n" for x in sorted(folders)), "utf-8"))
-    finally:
-        out.close()
-    place = _store(spark, target)[1]
-    if store.exists(place) or not store.rename(temporary, place):
-        raise RuntimeError(f"another writer changed {root}/{table}")
-
+        stored = spark.read.schema(schema).parquet(f"{root}/{table}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+    return stored.select(*empty.columns).filter(F.col("fixture_id").isNotNull())
 
-def _partition(folder: str) -> str:
-    return folder.split("/", 1)[1]
 
+def _within(partitions: DataFrame) -> Column:
+    """Condition on the partition columns, so that only these folders are read. There are as many as leagues and seasons change at once."""
+    same = [F.col("league_id").eqNullSafe(F.lit(r.league_id)) & F.col("season").eqNullSafe(F.lit(r.season)) for r in partitions.toLocalIterator()]
+    return reduce(lambda a, b: a | b, same, F.lit(False))
 
-def _load(spark: SparkSession, root: str, table: str, schema: str, folders: list[str]) -> DataFrame:
-    if not folders:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*[f"{root}/{table}/{x}" for x in folders])
-    return rows.select(*spark.createDataFrame([], schema).columns)
 
-
-def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
-    return _load(spark, root, table, schema, _current(spark, root, table)[1])
-
-
-def _swap(spark: SparkSession, root: str, table: str, partitions: set[str], rows: DataFrame) -> None:
+def _swap(root: str, table: str, schema: str, partitions: DataFrame, rows: DataFrame) -> None:
     """Put ``rows`` in the place of all that the ``partitions`` held."""
-    number, folders = _current(spark, root, table)
-    version = f"version={uuid.uuid4().hex}"
-    rows.write.partitionBy(*PARTITION).parquet(f"{root}/{table}/{version}")
-    new = [version + path.rsplit(version, 1)[1] for path in _glob(spark, f"{root}/{table}/{version}/league_id=*/season=*")]
-    _commit(spark, root, table, number + 1, [x for x in folders if _partition(x) not in partitions] + new)
+    spark = rows.sparkSession
+    shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema).schema])
+    whole = materialize(shaped.unionByName(partitions.select(*PARTITION).distinct(), allowMissingColumns=True), "state")
+    whole.hint("rebalance", *PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*PARTITION).parquet(f"{root}/{table}")
 
 
-def _names(keys: DataFrame) -> set[str]:
-    """Folder names of the leagues and seasons in ``keys``: as many rows as there are partitions to rewrite."""
-    show = lambda v: _NULL if v is None else str(v)
-    return {f"league_id={show(r.league_id)}/season={show(r.season)}" for r in keys.select(*PARTITION).distinct().toLocalIterator()}
-
-
-def _replace(spark: SparkSession, root: str, table: str, schema: str, touched: DataFrame, new: DataFrame) -> None:
+def _replace(root: str, table: str, schema: str, touched: DataFrame, new: DataFrame) -> None:
     """Replace all rows of the ``touched`` fixtures (fixture_id, league_id, season), wherever they lie, by ``new``."""
-    columns = spark.createDataFrame([], schema).schema
     touched = materialize(touched.select("fixture_id", *PARTITION).distinct(), "touched")
-    folders = _current(spark, root, table)[1]
-    stored = _load(spark, root, table, schema, folders)
+    stored = _read(touched.sparkSession, root, table, schema)
     ids = touched.select("fixture_id").distinct()
-    partitions = _names(touched) | _names(stored.join(ids, "fixture_id", "left_semi"))
-    kept = _load(spark, root, table, schema, [x for x in folders if _partition(x) in partitions]).join(ids, "fixture_id", "left_anti")
-    shaped = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
-    _swap(spark, root, table, partitions, kept.select(*columns.names).unionByName(shaped))
-
-
-def expire(spark: SparkSession, root: str, table: str) -> None:
-    """Delete folders and change files that are no longer in force. Not while readers of an older change are at work."""
-    number, folders = _current(spark, root, table)
-    used = {x.split("/", 1)[0] for x in folders}
-    for path in _glob(spark, f"{root}/{table}/version=*"):
-        if path.rsplit("/", 1)[1] not in used:
-            remove(spark, path)
-    for path in _glob(spark, f"{root}/{table}/_current/change-*"):
-        if int(path.rsplit("-", 1)[1]) < number:
-            remove(spark, path)
+    lies = stored.select("fixture_id", *PARTITION).join(ids, "fixture_id", "left_semi")
+    partitions = materialize(touched.select(*PARTITION).unionByName(lies.select(*PARTITION)).distinct(), "partitions")
+    kept = stored.filter(_within(partitions)).join(ids, "fixture_id", "left_anti")
+    _swap(root, table, schema, partitions, kept.unionByName(new.select(*kept.columns)))
 
 
 def latest(records: DataFrame, key: str = "fixture_id", order: str = "last_synced_at") -> DataFrame:
@@ -129,7 +72,7 @@ def latest(records: DataFrame, key: str = "fixture_id", order: str = "last_synce
 def upsert_fixtures(root: str, records: DataFrame) -> None:
     """Insert or fully replace fixture rows by key."""
     new = latest(records)
-    _replace(records.sparkSession, root, "fixtures", schemas.STATE_FIXTURES, new.select("fixture_id", *PARTITION), new)
+    _replace(root, "fixtures", schemas.STATE_FIXTURES, new.select("fixture_id", *PARTITION), new)
 
 
 def replace_stints(root: str, touched: DataFrame, stints: DataFrame, is_live: bool) -> None:
@@ -139,7 +82,7 @@ def replace_stints(root: str, touched: DataFrame, stints: DataFrame, is_live: bo
         "duration", "home_team_id", "away_team_id", "home_players", "away_players", "xg_diff", "score_diff", "red_home", "red_away",
         F.lit(is_live).alias("is_live"), *PARTITION)
     markers = touched.select("fixture_id", *PARTITION).distinct()
-    _replace(touched.sparkSession, root, "stints", schemas.STATE_STINTS, touched.distinct(),
+    _replace(root, "stints", schemas.STATE_STINTS, touched.distinct(),
              keyed.unionByName(markers, allowMissingColumns=True))
 
 
@@ -149,7 +92,7 @@ def replace_player_rows(root: str, touched: DataFrame, rows: DataFrame) -> None:
     one = keyed.groupBy("fixture_id", "player_id").agg(
         F.max_by(F.struct(*keyed.columns), F.struct("minutes", "team_id")).alias("r")).select("r.*")
     markers = touched.select("fixture_id", *PARTITION).distinct()
-    _replace(touched.sparkSession, root, "player_match_stats", schemas.STATE_PLAYERS, touched.distinct(),
+    _replace(root, "player_match_stats", schemas.STATE_PLAYERS, touched.distinct(),
              one.unionByName(markers, allowMissingColumns=True))
 
 
@@ -158,21 +101,18 @@ def mark_not_live(root: str, live: DataFrame, league_id: int | None = None) -> N
 
     Only partitions that still hold a wrongly flagged fixture are rewritten.
     """
-    spark = live.sparkSession
-    folders = _current(spark, root, "fixtures")[1]
-    stored = _load(spark, root, "fixtures", schemas.STATE_FIXTURES, folders)
+    stored = _read(live.sparkSession, root, "fixtures", schemas.STATE_FIXTURES)
     gone = stored.filter("is_live")
     if league_id is not None:
         gone = gone.filter(F.col("league_id") == league_id)
-    gone = gone.join(live.select("fixture_id").distinct(), "fixture_id", "left_anti")
-    gone = materialize(gone.select("fixture_id", *PARTITION), "ended")
-    partitions = _names(gone)
-    if not partitions:
+    gone = materialize(gone.select("fixture_id", *PARTITION).join(live.select("fixture_id").distinct(), "fixture_id", "left_anti"), "ended")
+    if gone.isEmpty():
         return
-    rows = _load(spark, root, "fixtures", schemas.STATE_FIXTURES, [x for x in folders if _partition(x) in partitions])
+    partitions = gone.select(*PARTITION).distinct()
     flagged = gone.select("fixture_id", F.lit(True).alias("__gone")).distinct()
-    cleared = rows.join(flagged, "fixture_id", "left").withColumn("is_live", F.when(F.col("__gone"), F.lit(False)).otherwise(F.col("is_live")))
-    _swap(spark, root, "fixtures", partitions, cleared.select(*stored.columns))
+    rows = stored.filter(_within(partitions)).join(flagged, "fixture_id", "left")
+    cleared = rows.withColumn("is_live", F.when(F.col("__gone"), F.lit(False)).otherwise(F.col("is_live")))
+    _swap(root, "fixtures", schemas.STATE_FIXTURES, partitions, cleared.select(*stored.columns))
 
 
 def read_fixtures(spark: SparkSession, root: str) -> DataFrame:

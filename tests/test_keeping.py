@@ -35,9 +35,19 @@ def test_corrected_and_unassigned_fixtures(spark, tmp_path):
     assert len(stored(spark, root)) == 5
     state.mark_not_live(root, spark.createDataFrame([(2,)], "fixture_id long"))
     assert {r.fixture_id for r in state.read_fixtures(spark, root).filter("is_live").collect()} == {2}
-    before = stored(spark, root)
-    state.expire(spark, root, "fixtures")
-    assert stored(spark, root) == before and len(list((tmp_path / "fixtures" / "_current").glob("change-*"))) == 1
+    state.mark_not_live(root, spark.createDataFrame([], "fixture_id long"))
+    assert state.read_fixtures(spark, root).filter("is_live").count() == 0 and len(stored(spark, root)) == 5
+
+
+def test_other_partitions_are_left_alone(spark, tmp_path):
+    root = str(tmp_path)
+    state.upsert_fixtures(root, records(spark, [(1, 5, 2024, "1H", 1), (2, 6, 2024, "1H", 1)]))
+    files = lambda league: sorted(x.name for x in (tmp_path / "fixtures").glob(f"league_id={league}/season=2024/*.parquet"))
+    before = files(5), files(6)
+    state.upsert_fixtures(root, records(spark, [(2, 6, 2024, "FT", 2)]))
+    assert files(5) == before[0] and files(6) != before[1]
+    state.upsert_fixtures(root, records(spark, [(2, 7, 2024, "FT", 3)]))        # league 6 keeps no fixture
+    assert stored(spark, root) == [(1, 5, 2024, "1H"), (2, 7, 2024, "FT")]
 
 
 def test_same_time_has_one_winner(spark):

@@ -55,3 +55,17 @@ def test_current_season(spark):
 def test_odds_of_a_sure_shot_do_not_fail(spark):
     assert values(spark, [(1.0,), (0.5,)], "p double", S.odds("p")) == [None, 1.0]
     assert values(spark, [(1.0,)], "p double", S.from_odds(F.col("p"))) == [0.5]
+
+
+def test_p_values_against_the_tables(spark):
+    """Student's table (two-sided): t with nu degrees of freedom as r = t / sqrt(t^2 + nu); and exact values of the beta function."""
+    table = [(1, 12.706205, 0.05), (2, 4.302653, 0.05), (5, 2.570582, 0.05), (10, 3.169273, 0.01), (30, 2.042272, 0.05), (120, 2.617421, 0.01),
+             (1000, 1.962339, 0.05), (7, 0.0, 1.0)]
+    rows = [(t / (t * t + nu) ** 0.5, nu + 2, p) for nu, t, p in table]
+    got = spark.createDataFrame(rows, "r double, n long, p double").select(S.correlation_p(F.col("r"), F.col("n")).alias("q"), "p").collect()
+    assert all(abs(r.q - r.p) < 1e-6 for r in got)
+    exact = [(0.3, 1.0, 1.0, 0.3), (0.3, 2.0, 1.0, 0.09), (0.3, 1.0, 3.0, 1 - 0.7 ** 3), (0.5, 40.0, 40.0, 0.5), (0.0, 2.0, 3.0, 0.0), (1.0, 2.0, 3.0, 1.0)]
+    got = spark.createDataFrame(exact, "x double, a double, b double, s double").select(
+        S.beta_share(F.col("x"), F.col("a"), F.col("b")).alias("q"), "s").collect()
+    assert all(abs(r.q - r.s) < 1e-10 for r in got)
+    assert spark.range(1).select(S.correlation_p(F.lit(0.5), F.lit(2)).alias("p")).first().p is None
