@@ -301,7 +301,7 @@ def _search(index: Index, data: np.ndarray, bounds: np.ndarray, stride: int, siz
                 continue
             asked = index.asked[item]
             shares = [float(has[of].mean()) if of.any() else None for of in (asked, ~asked)]
-            if all(x is None or x >= part for x in shares):
+            if all(of.sum() < size or x >= part for of, x in zip((asked, ~asked), shares)):
                 value = (score * float(index.share[item]), float(has.mean()), *shares)
                 best[d, item] = max(best.get((d, item), value), value, key=lambda v: (v[1], v[0]))
     return best
@@ -328,7 +328,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, overlap: floa
 
     A pair is reported if some run of words of the document, at most twice as long as the item, holds ``overlap`` of the item's
     distinct ``size``-word shingles (an item with fewer words is one shingle), and ``part`` of those of its question and of those
-    of its answer, each where the item has it. The answer is the item's last sentence or line; shingles that touch it count
+    of its answer, each where it has ``size`` of them or more (a word or two can't decide). The answer is the item's last sentence or line; shingles that touch it count
     for it. ``overlap``, ``question_overlap`` and ``answer_overlap`` are those shares in the fullest run. Words are runs of letters and
     digits, A-Z lowered.
 

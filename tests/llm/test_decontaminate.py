@@ -59,8 +59,8 @@ def brute_pairs(docs, items, size=5, overlap=0.8, part=0.5):
             hits = [(i, g) for i in range(len(d) - n + 1) if (g := tuple(d[i:i + n])) in wanted]
             runs = [[g for j, g in hits if i - (2 * len(w) - n + 1) < j <= i] for i, _ in hits]
             best = max((set(r) for r in runs), key=len, default=set())
-            shares = [sum(g in best for g in of) / len(of) for of in ([g for g, q in wanted.items() if q], [g for g, q in wanted.items() if not q]) if of]
-            if len(best) >= overlap * len(wanted) - 1e-9 and all(x >= part for x in shares):
+            shares = [(len(of), sum(g in best for g in of) / len(of)) for of in ([g for g, q in wanted.items() if q], [g for g, q in wanted.items() if not q]) if of]
+            if len(best) >= overlap * len(wanted) - 1e-9 and all(x >= part for n, x in shares if n >= size):
                 found[doc_id, item_id] = len(best) / len(wanted)
     return found
 
@@ -103,22 +103,21 @@ def test_rare_last_words_and_foreign_long_items(spark):
     assert brute_pairs(docs, items[:3]) == {(1, 0): 0.8}
 
 
-def test_the_answer_decides(spark):
-    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
-                                       "seventeen eighteen nineteen twenty and so on we go. forty two")], "item_id long, text string")
-    docs = documents(spark, [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
-                                 "seventeen eighteen nineteen twenty and so on we go. Forty two!"),
-                             (2, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
-                                 "seventeen eighteen nineteen twenty and so on we go. no idea")])
-    assert set(pairs_of(D.contaminated(docs, items))) == {(1, 1)}
-    assert set(pairs_of(D.contaminated(docs, items, part=0.0))) == {(1, 1), (2, 1)}
-
-
 def item(seed, n):
     random.seed(seed)
     return " ".join(f"q{random.randrange(3000)}" for _ in range(n))
 
 
+def test_the_answer_decides(spark):
+    asked = " ".join(f"asked{i}" for i in range(60)) + ". "
+    items = spark.createDataFrame([(1, asked + "It is forty two by all known accounts")], "item_id long, text string")
+    docs = documents(spark, [(1, asked + "it is forty two by all known accounts!"), (2, asked + "nobody here could tell me what it was"),
+                             (3, asked + "it is forty two by all unknown accounts")])
+    assert set(pairs_of(D.contaminated(docs, items))) == {(1, 1), (3, 1)}
+    assert set(pairs_of(D.contaminated(docs, items, part=0.0))) == {(1, 1), (2, 1), (3, 1)}
+    assert set(pairs_of(D.contaminated(docs, items, part=1.0))) == {(1, 1)}
+
+
 def test_planted_items_are_found_and_clean_documents_left_alone(spark):
     items = [(i, item(i, 12 + i) + ". " + item(100 + i, 6)) for i in range(30)]
     clean = [(i, item(1000 + i, 700)) for i in range(40)]
