@@ -22,7 +22,7 @@ KINDS = np.full(256, WORD, np.uint8)
 KINDS[[0x20, 0x09]] = BLANK
 KINDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = END
 #: Texts are counted in slices of about this size, so that a task hands on few rows per distinct phrase.
-SLICE = 3 << 20
+SLICE = 1 << 20
 #: Bits of a map of phrases: 16 for each phrase within these bounds, so what is broadcast has at most 16 MB however many there are.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _SLOT = 1 << 16
