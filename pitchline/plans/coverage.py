@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchline.functions import scalars as S
+from pitchline.session import materialize
 
 # Fixed value: the round a sample fixture is taken from.
 FIRST_ROUND = "Regular Season - 1"
@@ -63,6 +67,40 @@ def stat_fields(players: DataFrame) -> DataFrame:
     return listed.groupBy("fixture_id").agg(F.min_by("__k", F.struct("__o", "__id")).alias("player_stat_fields"))
 
 
+def variant_fields(payloads: DataFrame, value: str, keys: Sequence[str], depth: int = 2) -> DataFrame:
+    """Which fields the VARIANT payloads of a group have: ``keys``, ``field`` (a path for members of objects) and ``kind``, all kinds met.
+
+    Members are taken apart by a lateral join, ``depth`` levels down, and summed up before anything moves. A decimal is DECIMAL whatever its
+    width; a JSON null counts as VOID only where the field never holds anything else. A payload that is null or no object has no fields.
+    """
+    tvf, level, parts = payloads.sparkSession.tvf, payloads.select(*keys, F.col(value).alias("v"), F.lit("").alias("path")), []
+    for _ in range(depth):
+        members = level.lateralJoin(tvf.variant_explode(F.col("v").outer())).filter("key is not null")
+        named = members.select(*keys, F.concat("path", "key").alias("field"), F.col("value").alias("v"),
+                               F.regexp_extract(F.schema_of_variant("value"), r"^[A-Z]+", 0).alias("kind"))
+        parts.append(named.select(*keys, "field", "kind").distinct())
+        level = named.filter("kind = 'OBJECT'").select(*keys, "v", F.concat("field", F.lit(".")).alias("path"))
+    every = reduce(DataFrame.unionByName, parts)
+    known = F.array_sort(F.collect_set(F.when(F.col("kind") != "VOID", F.col("kind"))))
+    return every.groupBy(*keys, "field").agg(known.alias("k")).select(
+        *keys, "field", F.when(F.size("k") > 0, F.array_join("k", "|")).otherwise("VOID").alias("kind"))
+
+
+def schema_drift(payloads: DataFrame, value: str, by: Sequence[str], time: str, depth: int = 2) -> DataFrame:
+    """Fields of VARIANT payloads per group and step of ``time`` against the step before it that the group has: ``field``, ``kind``,
+    ``state`` (appeared, changed, kept, vanished; all appear at the first step) and ``earlier``, the kind before."""
+    by = list(by)
+    found = materialize(variant_fields(payloads, value, [*by, time], depth), "fields")
+    window = Window.partitionBy(*by).orderBy(time) if by else Window.orderBy(time)
+    steps = found.select(*by, time).distinct().withColumn("__before", F.lag(time).over(window))
+    before = found.withColumnsRenamed({time: "__before", "kind": "earlier"})
+    now = found.join(steps, [*by, time]).join(before, [*by, "__before", "field"], "left")
+    state = F.when(F.col("earlier").isNull(), "appeared").when(F.col("earlier") != F.col("kind"), "changed").otherwise("kept")
+    gone = before.join(steps, [*by, "__before"]).join(found.select(*by, time, "field"), [*by, time, "field"], "left_anti")
+    return now.select(*by, time, "field", "kind", state.alias("state"), "earlier").unionByName(gone.select(
+        *by, time, "field", F.lit(None).cast("string").alias("kind"), F.lit("vanished").alias("state"), "earlier"))
+
+
 def expected_goals_by_team(statistics: DataFrame) -> DataFrame:
     """Teams whose statistics list expected goals, with the value as delivered (it may be NULL)."""
     listed = F.filter("statistics", lambda s: s["type"] == "expected_goals")

@@ -1,14 +1,14 @@
-"""Readers of the batch tables, match documents and rating files. Each reads all its files in one scan."""
+"""Readers of the batch tables, match documents and rating files. Each reads the rows of all its files in one scan."""
 
 from __future__ import annotations
 
 import csv
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchline import schemas
+from pitchline.session import materialize
 
 
 def _exists(spark: SparkSession, pattern: str) -> bool:
@@ -17,38 +17,36 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _first_lines(spark: SparkSession, pattern: str) -> list[tuple[str, str]]:
-    """(path, first line) of every file that matches; one short read per file."""
-    jvm, glob = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    store, out = glob.getFileSystem(spark._jsc.hadoopConfiguration()), []
-    for status in store.globStatus(glob) or []:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(status.getPath()), "UTF-8"))
-        try:
-            out.append((status.getPath().toString(), reader.readLine() or ""))
-        finally:
-            reader.close()
-    return out
+def _headers(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, header) of every file that matches: the first line of the split at a file's beginning, found where the file is read."""
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+                                            F.monotonically_increasing_id().alias("n"))
+    first = lines.filter("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    return first.withColumn("header", F.regexp_replace("header", "^\ufeff", "")).filter("header <> ''")
 
 
 def read_text_tables(spark: SparkSession, pattern: str) -> DataFrame:
     """CSV files as one table of text columns, joined by column name: files may differ in columns and in their order.
 
-    Files are grouped by their header line and each group is one scan with its own columns, checked against every
-    header. A column that a file lacks is NULL there. ``file`` holds the decoded path.
+    Headers are found by the executors; the driver sees each distinct header line once, whatever the number of files. Rows are one scan
+    by position, and a row's values take the names of its own file's header. A column that a file lacks is NULL there;
+    a file without a header line gives nothing. ``file`` holds the decoded path.
     """
-    by_header: dict[str, list[str]] = {}
-    for path, line in _first_lines(spark, pattern):
-        by_header.setdefault(line.removeprefix("\ufeff"), []).append(path)
-    parts = []
-    for line, paths in by_header.items():
-        names = next(csv.reader([line]), [])
-        if names:
-            schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-            rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
-            parts.append(rows.select(*names, _decoded(F.col("_metadata.file_path")).alias("file")))
-    if not parts:
+    headers = materialize(_headers(spark, pattern), "headers")
+    known = [(r.header, next(csv.reader([r.header]))) for r in headers.select("header").distinct().orderBy("header").collect()]
+    if not known:
         raise FileNotFoundError(f"no file with a header matches {pattern}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    width = max(len(names) for _, names in known)
+    numbered = headers.select("path", sum((F.when(F.col("header") == line, i).otherwise(0) for i, (line, _) in enumerate(known)), F.lit(0)).alias("kind"))
+    rows = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).option("header", True).option("enforceSchema", True).option("escape", '"').csv(pattern) \
+        .select("*", F.col("_metadata.file_path").alias("path")).join(numbered, "path")
+
+    def column(name: str) -> Column:
+        held = [F.when(F.col("kind") == i, F.col(f"_c{names.index(name)}")) for i, (_, names) in enumerate(known) if name in names]
+        return F.coalesce(*held).alias(name)
+
+    every = dict.fromkeys(name for _, names in known for name in names)
+    return rows.select(*[column(name) for name in every], _decoded(F.col("path")).alias("file"))
 
 
 def _decoded(path: Column) -> Column:
@@ -59,14 +57,14 @@ def _decoded(path: Column) -> Column:
 def read_league_seasons(spark: SparkSession, root: str, leagues: str = "*", seasons: str = "*") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Schedule, player rows and shots of all matching ``<league>/<season>_<table>.csv`` files; NaN becomes NULL.
 
-    League and season are the names of the folder and the file.
+    League and season are the names of the folder and the file; a file may be a folder of part files. Read files must not change meanwhile.
     """
     def table(suffix: str, schema: str) -> DataFrame:
         columns = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
         text = read_text_tables(spark, f"{root}/{leagues}/{seasons}_{suffix}.csv")
         number = lambda c, t: F.nullif(F.col(c).try_cast("double"), F.lit(float("nan"))).try_cast(t) if t != "string" else F.col(c)
-        return text.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("league"),
-                           F.regexp_extract("file", rf"([^/]+)_{suffix}\.csv$", 1).alias("season"),
+        place = rf"([^/]+)/([^/]+)_{suffix}\.csv(?:/[^/]+)?$"
+        return text.select(F.regexp_extract("file", place, 1).alias("league"), F.regexp_extract("file", place, 2).alias("season"),
                            *[number(c, t).alias(c) if c in text.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
     return (table("schedule", schemas.SCHEDULE), table("player_match_stats", schemas.PLAYER_MATCH), table("shot_events", schemas.SHOT_EVENTS))
 
@@ -74,8 +72,9 @@ def read_league_seasons(spark: SparkSession, root: str, leagues: str = "*", seas
 def list_seasons(spark: SparkSession, root: str, leagues: str = "*") -> DataFrame:
     """(league, season) pairs that have player rows, from file names alone."""
     files = spark.read.format("binaryFile").load(f"{root}/{leagues}/*_player_match_stats.csv").select("path")
-    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("league"),
-                        F.regexp_extract("path", r"([^/]+)_player_match_stats\.csv$", 1).alias("season")).distinct().orderBy("league", "season")
+    place = r"([^/]+)/([^/]+)_player_match_stats\.csv(?:/[^/]+)?$"
+    return files.select(F.regexp_extract("path", place, 1).alias("league"), F.regexp_extract("path", place, 2).alias("season")) \
+        .distinct().orderBy("league", "season")
 
 
 def read_match_documents(spark: SparkSession, pattern: str) -> DataFrame:

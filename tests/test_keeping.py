@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pitchline import schemas, session
 from pitchline.operators import shots as shot_ops
 from pitchline.plans import chance_quality, finishing
-from pitchline.sources import batch
-from pitchline.streaming import state
+from pitchline.sources import batch, quality
+from pitchline.streaming import state, windows
 
 
 def records(spark, rows):
@@ -142,3 +142,50 @@ def test_sources_are_scanned_once_per_use(spark):
             s, finishing.team_skill(pairs, totals), finishing.team_skill(pairs, totals, "conceded_team")))
 
     assert scans(spark, teams) == 3
+
+
+def test_headers_are_found_without_the_driver(spark, tmp_path, monkeypatch):
+    """Many files of several headers: one text scan for the headers, one scan for the rows, quoted names and values, empty files."""
+    for i in range(40):
+        body = {0: "a,b\n{},x\n", 1: "b,a\ny,{}\n", 2: '"a","c, d"\n{},"q, ""r"""\n', 3: ""}[i % 4].format(i)
+        (tmp_path / f"f{i:02d}.csv").write_text(body)
+    (tmp_path / "g.csv").write_text("﻿b,a,z\n\n1,2\n3,4,5,6\n")
+    monkeypatch.setattr(batch, "_exists", None)
+    got = batch.read_text_tables(spark, f"{tmp_path}/*.csv")
+    assert set(got.columns) == {"a", "b", "c, d", "z", "file"}
+    rows = {(r.a, r.b, r["c, d"], r.z) for r in got.collect()}
+    want = {(str(i), "x", None, None) for i in range(0, 40, 4)} | {(str(i), "y", None, None) for i in range(1, 40, 4)}
+    assert rows == want | {(str(i), None, 'q, "r"', None) for i in range(2, 40, 4)} | {("2", "1", None, None), ("4", "3", None, "5")}
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        (tmp_path / "none" / "e.csv").write_text("")
+        batch.read_text_tables(spark, f"{tmp_path}/none/*.csv")
+
+
+def test_losses_are_counted_in_a_stream(spark, tmp_path):
+    for k, lines in enumerate((["1", "x", " "], ["2", "3", "y", "z"])):
+        (tmp_path / f"in{k}.txt").write_text("\n".join(lines))
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in*.txt"))
+    typed = quality.counted_casts(stream, {"value": "int"}, "casts")
+    query = typed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")) \
+        .trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p.observedMetrics["casts"] for p in query.recentProgress if "casts" in p.observedMetrics]
+    assert sum(s.rows for s in seen) == 7 and sum(s.bad_value for s in seen) == 3 and sum(s.none_value for s in seen) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_state_of_closed_windows_shrinks(spark, tmp_path):
+    """Rows on both sides of the watermark; closed windows leave the state, late rows don't come back."""
+    minutes = [[0, 5, 20], [60, 70, 1], [300, 310], [900, 2]]            # 1 comes in time, 2 too late
+    for k, batch_ in enumerate(minutes):
+        rows = [(f"m{k}", datetime(2024, 1, 1 , m // 60, m % 60), 1.0) for m in batch_]
+        spark.createDataFrame(rows, "match_id string, ts timestamp, xg double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("match_id string, ts timestamp, xg double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = windows.to_table(windows.windowed_xg(stream, "15 minutes", None, "ts"), str(tmp_path / "out"), str(tmp_path / "cp"), None)
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+    late = sum(p.stateOperators[0].numRowsDroppedByWatermark for p in query.recentProgress)
+    got = {(r.match_id, r.window_start.hour * 60 + r.window_start.minute): r.events for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert late == 1 and held[-1] == 1 and max(held) > 1
+    assert got == {("m0", 0): 2, ("m0", 15): 1, ("m1", 0): 1, ("m1", 60): 2, ("m2", 300): 2}
