@@ -32,9 +32,11 @@ def payloads(spark, d):
         F.lit('"'), pick(N.MINUTE_KEYS, e), F.lit('":'), minute, F.lit(',"'), pick(N.TYPE_KEYS, e), F.lit('":"'),
         F.initcap("event_type"), F.lit('","'), pick(N.TEAM_KEYS, e), F.lit('":'), F.col("block") * 2 + F.col("side"),
         F.lit(',"'), pick(N.PLAYER_KEYS, e), F.lit('":"'), F.col("user_id"), F.lit('","'), pick(N.XG_KEYS, e), F.lit('":'),
-        F.round(F.col("value") / 1000, 5).cast("decimal(18,5)").cast("string"), F.lit(',"playerInId":'), e % 3)
+        F.round(F.col("value") / 1000, 5).cast("decimal(18,5)").cast("string"), F.lit(',"playerInId":'), e % 3, F.lit(',"playerOutId":'), e % 5,
+        F.when(e % 6 == 0, F.concat(F.lit(',"home_lineup":['), e % 7, F.lit("]"))).otherwise(""),
+        F.when(e % 6 == 1, F.concat(F.lit(',"lineup_away":null,"away_lineup":['), e % 7, F.lit(',"x"]'))).otherwise(""))
     match = F.concat(F.lit('"'), pick(N.MATCH_KEYS, e), F.lit('":'), F.col("fixture_id"), F.lit(',"homeTeamId":'), F.col("block") * 2,
-                     F.lit(',"score":'), F.when(e % 4 == 3, F.concat(F.lit('{"home":0,"awayScore":'), e % 6, F.lit("}")))
+                     F.lit(',"awayTeamId":'), F.col("block") * 2 + 1, F.lit(',"score":'), F.when(e % 4 == 3, F.concat(F.lit('{"home":0,"awayScore":'), e % 6, F.lit("}")))
                      .otherwise(F.concat(F.lit('"'), e % 4, F.lit("-"), e % 6, F.lit('"'))))
     body = (F.when(e % 4 == 0, F.concat(F.lit('{"result":{"matches":[{'), match, F.lit(',"events":[{'), event, F.lit("}]}]}}")))
             .when(e % 4 == 1, F.concat(F.lit("[{"), match, F.lit(","), event, F.lit("}]")))
@@ -47,15 +49,23 @@ cte("live", """SELECT CAST(fixture_id AS VARCHAR) AS match_id, CAST(CASE WHEN ev
   event_type, CAST(block * 2 + side AS VARCHAR) AS team_id, CAST(user_id AS VARCHAR) AS player_id, round(value / 1000, 5) AS xg,
   CAST(CASE WHEN event_id % 4 = 3 THEN 0 ELSE event_id % 4 END AS INTEGER) AS score_home, CAST(event_id % 6 AS INTEGER) AS score_away,
   CASE WHEN block = 0 THEN NULL ELSE CAST(block * 2 AS VARCHAR) END AS home_team_id,
-  CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 3 AS VARCHAR) END AS player_in_id FROM feed""", "feed")
-LIVE_COLUMNS = ["match_id", "minute", "event_type", "team_id", "player_id", "xg", "score_home", "score_away", "home_team_id", "player_in_id"]
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 3 AS VARCHAR) END AS player_in_id,
+  CAST(block * 2 + 1 AS VARCHAR) AS away_team_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 5 AS VARCHAR) END AS player_out_id,
+  CASE WHEN event_id % 6 = 0 THEN '[' || event_id % 7 || ']' END AS lineup_home,
+  CASE WHEN event_id % 6 = 1 THEN '[' || event_id % 7 || ',"x"]' END AS lineup_away, 'live-feed' AS source, true AS ingested,
+  event_id % 3 AS raw_in, event_id % 4 IN (1, 2) AS raw_has_match FROM feed""", "feed")
+LIVE_COLUMNS = ["match_id", "minute", "event_type", "team_id", "player_id", "xg", "score_home", "score_away", "home_team_id", "player_in_id",
+                "away_team_id", "player_out_id"]
 
 
 @register("live_events", query("SELECT * FROM live", "live"))
 def live_events(spark, d):
-    return rounded(N.normalize(payloads(spark, d)).select(*LIVE_COLUMNS))
-
-
+    """All columns; of ``raw`` that it is the event's own object (which holds its match where the item is the event)."""
+    events = N.normalize(payloads(spark, d))
+    raw = lambda key: F.try_variant_get("raw", f"$.{key}", "bigint")
+    return rounded(events.select(
+        *LIVE_COLUMNS, F.to_json("lineup_home").alias("lineup_home"), F.to_json("lineup_away").alias("lineup_away"), "source",
+        F.col("ingested_at").isNotNull().alias("ingested"), raw("playerInId").alias("raw_in"), raw("homeTeamId").isNotNull().alias("raw_has_match")))
 
 
 # --- streams and state ------------------------------------------------------------------------------------------

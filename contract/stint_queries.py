@@ -245,6 +245,13 @@ def feed_first_fixtures(spark, d):
     return feed.fixture_heads(first).select("fixture_id", "date")
 
 
+@register("feed_first_fixtures_by_season", query("""SELECT league_id, season, fixture_id FROM (SELECT *, row_number() OVER (
+  PARTITION BY league_id, season ORDER BY date, fixture_id) AS r FROM feed_fixtures WHERE status <> '2H') WHERE r <= 3""", "feed_fixtures"))
+def feed_first_fixtures_by_season(spark, d):
+    first = feed.first_fixtures(feed.finished_fixtures(T.feed_fixtures(spark, d)), 3, per_season=True)
+    return feed.fixture_heads(first).select("league_id", "season", "fixture_id")
+
+
 @register("feed_fixtures_used", query("""
 SELECT f.fixture_id, date, 'Club ' || home_team_id AS home, 'Club ' || away_team_id AS away, status,
   coalesce(s.n, 0) AS stints, coalesce(e.n, 0) AS events, 2 AS lineups, coalesce(p.n, 0) AS player_rows

@@ -30,10 +30,16 @@ def finished_fixtures(fixtures: DataFrame) -> DataFrame:
     return fixtures.filter(S.is_finished("fixture.status.short"))
 
 
-def first_fixtures(fixtures: DataFrame, limit: int | None) -> DataFrame:
-    """The first ``limit`` fixtures by date (a missing date first); no limit when it is None or not positive."""
-    ordered = fixtures.orderBy(F.coalesce(F.col("fixture.date"), F.lit("")), F.col("fixture.id"))
-    return ordered.limit(limit) if limit and limit > 0 else ordered
+def first_fixtures(fixtures: DataFrame, limit: int | None, per_season: bool = False) -> DataFrame:
+    """The first ``limit`` fixtures by date (a missing date first), of each league and season with ``per_season``; no limit when it is
+    None or not positive."""
+    order = [F.coalesce(F.col("fixture.date"), F.lit("")), F.col("fixture.id")]
+    if not limit or limit <= 0:
+        return fixtures.orderBy(*order)
+    if not per_season:
+        return fixtures.orderBy(*order).limit(limit)
+    rank = F.row_number().over(Window.partitionBy(F.col("league.id"), F.col("league.season")).orderBy(*order))
+    return fixtures.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank").orderBy(*order)
 
 
 def fixture_heads(fixtures: DataFrame) -> DataFrame:

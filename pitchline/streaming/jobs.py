@@ -17,9 +17,10 @@ from pitchline.streaming.normalize import normalize
 
 
 def sync_finished(root: str, fixtures: DataFrame, parts: dict[str, DataFrame], limit: int | None = None,
-                  min_stint_minutes: float = 1.0) -> DataFrame:
-    """Store finished fixtures with their stints and player rows; one-row count of what was stored."""
-    chosen = materialize(feed.first_fixtures(feed.finished_fixtures(fixtures), limit), "finished")
+                  min_stint_minutes: float = 1.0, per_season: bool = False) -> DataFrame:
+    """Store finished fixtures (the first ``limit`` of all, or of each league and season) with their stints and player rows; one-row
+    count of what was stored."""
+    chosen = materialize(feed.first_fixtures(feed.finished_fixtures(fixtures), limit, per_season), "finished")
     records = feed.fixture_records(chosen, parts["statistics"], is_live=False)
     touched = feed.fixture_heads(chosen).select("fixture_id", *state.PARTITION)
     stints = feed.build_feed_stints(chosen, parts["statistics"], parts["events"], parts["lineups"], parts["players"], min_stint_minutes)
