@@ -25,19 +25,21 @@ def _headers(spark: SparkSession, pattern: str) -> DataFrame:
     return first.withColumn("header", F.regexp_replace("header", "^\ufeff", "")).filter("header <> ''")
 
 
-def read_text_tables(spark: SparkSession, pattern: str) -> DataFrame:
+def read_text_tables(spark: SparkSession, pattern: str, **of_file: Column) -> DataFrame:
     """CSV files as one table of text columns, joined by column name: files may differ in columns and in their order.
 
     Headers are found by the executors; the driver sees each distinct header line once, whatever the number of files. Rows are one scan
     by position, and a row's values take the names of its own file's header. A column that a file lacks is NULL there;
-    a file without a header line gives nothing. ``file`` holds the decoded path.
+    a file without a header line gives nothing. ``file`` holds the decoded path; ``of_file`` names further columns made from ``file``. These
+    are worked out once a file, not once a row.
     """
     headers = materialize(_headers(spark, pattern), "headers")
     known = [(r.header, next(csv.reader([r.header]))) for r in headers.select("header").distinct().orderBy("header").collect()]
     if not known:
         raise FileNotFoundError(f"no file with a header matches {pattern}")
     width = max(len(names) for _, names in known)
-    numbered = headers.select("path", sum((F.when(F.col("header") == line, i).otherwise(0) for i, (line, _) in enumerate(known)), F.lit(0)).alias("kind"))
+    placed = headers.withColumn("file", _decoded(F.col("path"))).withColumns(of_file)
+    numbered = materialize(placed.select("path", "file", *of_file, sum((F.when(F.col("header") == line, i).otherwise(0) for i, (line, _) in enumerate(known)), F.lit(0)).alias("kind")), "files")
     rows = spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).option("header", True).option("enforceSchema", True).option("escape", '"').csv(pattern) \
         .select("*", F.col("_metadata.file_path").alias("path")).join(numbered, "path")
 
@@ -46,7 +48,7 @@ def read_text_tables(spark: SparkSession, pattern: str) -> DataFrame:
         return F.coalesce(*held).alias(name)
 
     every = dict.fromkeys(name for _, names in known for name in names)
-    return rows.select(*[column(name) for name in every], _decoded(F.col("path")).alias("file"))
+    return rows.select(*[column(name) for name in every], "file", *of_file)
 
 
 def _decoded(path: Column) -> Column:
@@ -61,10 +63,11 @@ def read_league_seasons(spark: SparkSession, root: str, leagues: str = "*", seas
     """
     def table(suffix: str, schema: str) -> DataFrame:
         columns = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
-        text = read_text_tables(spark, f"{root}/{leagues}/{seasons}_{suffix}.csv")
-        number = lambda c, t: F.nullif(F.col(c).try_cast("double"), F.lit(float("nan"))).try_cast(t) if t != "string" else F.col(c)
         place = rf"([^/]+)/([^/]+)_{suffix}\.csv(?:/[^/]+)?$"
-        return text.select(F.regexp_extract("file", place, 1).alias("league"), F.regexp_extract("file", place, 2).alias("season"),
+        text = read_text_tables(spark, f"{root}/{leagues}/{seasons}_{suffix}.csv", __league=F.regexp_extract("file", place, 1),
+                                __season=F.regexp_extract("file", place, 2))
+        number = lambda c, t: F.nullif(F.col(c).try_cast("double"), F.lit(float("nan"))).try_cast(t) if t != "string" else F.col(c)
+        return text.select(F.col("__league").alias("league"), F.col("__season").alias("season"),
                            *[number(c, t).alias(c) if c in text.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
     return (table("schedule", schemas.SCHEDULE), table("player_match_stats", schemas.PLAYER_MATCH), table("shot_events", schemas.SHOT_EVENTS))
 

@@ -215,3 +215,18 @@ def test_written_outputs(spark, tmp_path):
     sinks.write_translation(rated, rated, None, str(tmp_path / "t"))
     assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["league_translation"]
     assert json.loads(sinks.as_messages(rated.limit(1), "live-events").first().value)["player"] in ("A", "B")
+
+
+def test_league_and_season_are_worked_out_once_a_file(spark, tmp_path):
+    """Names come from a small table of files, not from the path of every row."""
+    from pitchline.sources import batch
+
+    for league, line in (("A+B", "game_id,home_team_id,away_team_id\n1,2,3\n"), ("C", "away_team_id,game_id,home_team_id\n6,4,5\n")):
+        (tmp_path / league).mkdir()
+        for suffix in ("schedule", "player_match_stats", "shot_events"):
+            (tmp_path / league / f"2020_{suffix}.csv").write_text(line)
+    schedule = batch.read_league_seasons(spark, str(tmp_path))[0]
+    plan = schedule._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "decode" not in plan
+    got = sorted((r.league, r.season, r.game_id, r.home_team_id, r.away_team_id) for r in schedule.collect())
+    assert got == [("A+B", "2020", 1, 2, 3), ("C", "2020", 4, 5, 6)]
