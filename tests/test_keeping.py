@@ -189,3 +189,45 @@ def test_state_of_closed_windows_shrinks(spark, tmp_path):
     got = {(r.match_id, r.window_start.hour * 60 + r.window_start.minute): r.events for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert late == 1 and held[-1] == 1 and max(held) > 1
     assert got == {("m0", 0): 2, ("m0", 15): 1, ("m1", 0): 1, ("m1", 60): 2, ("m2", 300): 2}
+
+
+def test_spell_state_is_read_and_written_once_a_batch():
+    """Each access of state is a message to the executor: their number must not grow with the polls of a batch."""
+    import pandas as pd
+
+    from pitchline.streaming.live_state import _Spells
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def __getattr__(self, name):
+            def call(*given):
+                self.calls += 1
+                if name in ("update", "put"):
+                    self.value = given[0]
+                elif name == "appendValue":
+                    self.value = [*(self.value or []), given[0]]
+                elif name == "clear":
+                    self.value = None
+                elif name == "exists":
+                    return self.value is not None
+                elif name == "listTimers":
+                    return []
+                return self.value if name == "get" and self is handle.spell else iter(self.value or []) if name == "get" else None
+            return call
+
+    class Handle(Store):
+        spell, kinds = Store(), Store()
+        getValueState = lambda self, *_: self.spell
+        getListState = lambda self, *_: self.kinds
+
+    handle = Handle()
+    work = _Spells(1000)
+    work.init(handle)
+    at = [*range(0, 50 * 10**5, 10**5), 10**8, 10**8 + 5]
+    polls = pd.DataFrame({"at": at, "poll_id": range(len(at)), "kind": ["a", "b"] * 26, "xg": [0.5] * len(at)})
+    out = pd.concat(list(work.handleInputRows((3,), iter([polls.iloc[30:], polls.iloc[:30]]), None)))
+    assert out[["fixture_id", "polls", "xg", "kinds"]].values.tolist() == [[3, 50, 25.0, "a,b"]]
+    assert handle.spell.value == (10**8, 10**8 + 5, 2, 1.0) and handle.kinds.value == [("a",), ("b",)]
+    assert handle.calls + handle.spell.calls + handle.kinds.calls <= 8
