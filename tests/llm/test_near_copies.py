@@ -61,3 +61,20 @@ def test_crowded_bands_of_copies_that_are_unlike_each_other(spark):
     want = brute(docs)
     kept = {r.doc_id for r in C.near_dedup(spark, documents(spark, docs), SF_DIR).collect()}
     assert want <= kept and len(docs) - len(kept) >= 0.9 * (len(docs) - len(want))
+
+
+def test_simhash_links_are_looked_at(spark, monkeypatch):
+    """Operator 8's links are held against the similarity whatever the bands propose; one of equal fingerprints stands for all."""
+    from pitchline.llm import near_copies as N
+    from pitchline.llm.simhash import fingerprint
+
+    apart = lambda a, b: (fingerprint(a.encode()) ^ fingerprint(b.encode()) & (2**64 - 1)).bit_count()
+    base = " ".join(f"w{i * 7919 % 1009}" for i in range(400))
+    near = next(t for i in range(2000) if 0 < apart(base, t := f"{base} x{i}") <= 2)
+    far = " ".join(f"v{i * 31 % 997}" for i in range(400))
+    rows = [(5, base), (2, near), (9, base), (None, base), (7, far), (8, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "key long, k long, c long")
+    monkeypatch.setattr(N, "_pairs", lambda members, turn: none)
+    got = {(r.doc_id, r.component_id) for r in N.near_copies(docs).collect()}
+    assert got == {(5, 2), (2, 2), (9, 2), (None, 2), (7, 7), (8, 4), (4, 4)}
