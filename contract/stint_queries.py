@@ -8,6 +8,7 @@ from contract import tables as T
 from contract.registry import register, rounded
 from contract.sql import cte, query
 from pitchline.operators import feed, stints
+from pitchline.session import materialize
 
 G = "league, season, game_id"
 
@@ -50,10 +51,12 @@ cte("stints", f"""SELECT {G}, start, l.stop, CAST(l.stop - start AS DOUBLE) AS d
 
 
 def _parts(spark, d):
-    shots, apps = T.shots(spark, d), T.appearances(spark, d)
-    by_minute = stints.shots_by_minute(shots)
-    ends = stints.match_ends(T.schedule(spark, d), apps, by_minute)
-    return by_minute, ends, stints.player_intervals(apps, ends)
+    """Written once each: several steps of a query read them."""
+    apps = materialize(T.appearances(spark, d).select("league", "season", "game_id", "team_id", "player_id", "minutes", "position", "red_cards"),
+                       "appearances")
+    by_minute = materialize(stints.shots_by_minute(T.shots(spark, d)), "by-minute")
+    ends = materialize(stints.match_ends(T.schedule(spark, d), apps, by_minute), "match-ends")
+    return by_minute, ends, materialize(stints.player_intervals(apps, ends), "intervals")
 
 
 def all_stints(spark, d, min_minutes=1.0):

@@ -128,3 +128,32 @@ def test_durations_and_xg_are_kept_whole(spark):
     for r in out:
         want = sum(x if t == 10 else -x for g, t, _, x, _ in shots if g == r.game_id)
         assert r.d == 90 and abs(r.x - want) < 1e-9
+
+
+def test_squads_in_a_row_give_the_stints_of_single_rows(spark):
+    """Line-ups taken once a span and minutes told apart inside a game's row: the same stints as from one row per appearance."""
+    draw = random.Random(5)
+    of = lambda n, *options: [draw.choice(options) for _ in range(n)]
+    players = [("L", "S", g, team, 100 * team + k, *of(1, None, 0.0, 0.4, 20.5, 45.0, 70.0, 90.0, 97.0), *of(1, "Sub", "sub", "FW", None),
+                *of(1, None, 0.0, 1.0)) for g in (1, 2, 3, None) for team in (10, 20, 30, None) for k in range(9) if team is not None]
+    players += players[:5]
+    shots = [("L", "S", g, team, *of(1, None, -1, 0, 12, 44, 45, 88, 93, 140), draw.random(), *of(1, "Goal", "goal", "Saved", None))
+             for g in (1, 2, 4, None) for team in (10, 20, 30) for _ in range(12)]
+    p = spark.createDataFrame(players, "league string, season string, game_id bigint, team_id bigint, player_id bigint, minutes double, "
+                                       "position string, red_cards double")
+    t = spark.createDataFrame(shots, "league string, season string, game_id bigint, team_id bigint, minute int, xg double, result string")
+    once = [("L", "S", 1, 10, 20), ("L", "S", 2, 20, 10), ("L", "S", 3, 10, 20), ("L", "S", 4, 10, 20), ("L", "S", None, 10, 20)]
+    text = lambda df: sorted(str([(c, round(v, 9) if isinstance(v, float) else v) for c, v in r.asDict().items()]) for r in df.collect())
+    for listed in (once, once + once[:1]):
+        s = spark.createDataFrame(listed, "league string, season string, game_id bigint, home_team_id bigint, away_team_id bigint")
+        by_minute = stints.shots_by_minute(t)
+        ends = stints.match_ends(s, p, by_minute)
+        intervals = stints.player_intervals(p, ends)
+        segments = stints.cut_stints(ends, stints.boundary_deltas(ends, intervals, by_minute))
+        want = stints.lineups_from_squads(segments, stints.squads(intervals))
+        got = stints.build_stints(s, p, t)
+        assert got.columns == want.columns and text(got) == text(want) and got.count() > 0
+        games = stints.squads_of_games(s, p, by_minute)
+        assert text(games.drop("intervals")) == text(ends)
+        per_game = stints.lineup_spans(games).groupBy("game_id").count().collect()
+        assert all(r["count"] < 18 for r in per_game)
