@@ -231,3 +231,17 @@ def test_spell_state_is_read_and_written_once_a_batch():
     assert out[["fixture_id", "polls", "xg", "kinds"]].values.tolist() == [[3, 50, 25.0, "a,b"]]
     assert handle.spell.value == (10**8, 10**8 + 5, 2, 1.0) and handle.kinds.value == [("a",), ("b",)]
     assert handle.calls + handle.spell.calls + handle.kinds.calls <= 8
+
+
+def test_members_are_read_once_an_object(spark, monkeypatch):
+    """Items and events go on with the members that were read when they were found to be objects."""
+    from pitchline.streaming import normalize as N
+
+    calls, members = [], N.members
+    monkeypatch.setattr(N, "members", lambda v: calls.append(v) or members(v))
+    payloads = spark.createDataFrame([('{"matches":[{"id":1,"score":null,"events":[{"minute":3,"team":null},7,{"minute":"45+2"}]},{"id":2,"minute":5}]}',),
+                                      ('[{"id":3,"events":[]}]',)], "value string")
+    events = N.normalize(payloads)
+    assert len(calls) == 7             # payload, body, its lists or itself, embedded events, two scores
+    got = sorted((r.match_id, -1 if r.minute is None else r.minute) for r in events.select("match_id", "minute").collect())
+    assert got == [("1", 3), ("1", 47), ("2", 5), ("3", -1)]
