@@ -78,3 +78,36 @@ def test_simhash_links_are_looked_at(spark, monkeypatch):
     monkeypatch.setattr(N, "_pairs", lambda members, turn: none)
     got = {(r.doc_id, r.component_id) for r in N.near_copies(docs).collect()}
     assert got == {(5, 2), (2, 2), (9, 2), (None, 2), (7, 7), (8, 4), (4, 4)}
+
+
+def test_a_pair_is_looked_at_once_and_only_across_groups(spark, monkeypatch):
+    """Copies of two texts, crowded enough for all turns: what a turn proposes was neither joined nor proposed before. Its tables don't stay."""
+    from pitchline.llm import near_copies as N
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    proposed, stored, before = [], N.materialize, spark.conf.get(key, "false")
+
+    def kept(df, name="table", **more):
+        table = stored(df, name, **more)
+        if name == "likely":
+            proposed.append({(r.a, r.b) for r in table.collect()})
+        if name in ("met", "shingles", "linked"):
+            tables.append(table)
+        if name == "linked":
+            links.append({(r.a, r.b) for r in table.collect()})
+        return table
+
+    tables, links = [], []
+    monkeypatch.setattr(N, "materialize", kept)
+    docs = copies(2, 60, lambda k: 3 + k % 3 if k else 0)
+    N.near_copies(documents(spark, docs)).count()
+    assert len(proposed) > 2 and any(proposed[1:])
+    union, seen = Union(), set()
+    for pairs, linked in zip(proposed, links, strict=True):
+        assert not pairs & seen and all(union.find(a) != union.find(b) for a, b in pairs)
+        seen |= pairs
+        for a, b in linked:
+            union.join(a, b)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    left = [f for t in tables for f in t.inputFiles() if folder(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder(f))]
+    assert not left and spark.conf.get(key, "false") == before
