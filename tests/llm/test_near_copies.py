@@ -111,3 +111,43 @@ def test_a_pair_is_looked_at_once_and_only_across_groups(spark, monkeypatch):
     folder = spark._jvm.org.apache.hadoop.fs.Path
     left = [f for t in tables for f in t.inputFiles() if folder(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder(f))]
     assert not left and spark.conf.get(key, "false") == before
+
+
+def test_pairs_below_the_similarity_are_ruled_out_by_signatures(spark, monkeypatch):
+    """Copies at 0.59 to one another and 0.77 to their text share bands: after the first turn no more pairs than copies get a look."""
+    from pitchline.llm import near_copies as N
+
+    turns, stored = [], N.materialize
+
+    def kept(df, name="table", **more):
+        table = stored(df, name, **more)
+        if name == "likely":
+            turns.append(table.count())
+        return table
+
+    monkeypatch.setattr(N, "materialize", kept)
+    docs = copies(1, 80, lambda k: 5 if k else 0)
+    got = {r.doc_id for r in N.drop_near_copies(documents(spark, docs)).collect()}
+    assert got == brute(docs)
+    assert len(turns) > 1 and sum(turns[1:]) <= 80, turns
+
+
+def test_small_bands_are_settled_across_batches(spark):
+    """Bands of several sizes, in Arrow batches of any length: the pairs found are those of brute force over marks."""
+    import random
+
+    from pitchline.llm import near_copies as N
+
+    random.seed(3)
+    texts = {k: [random.randrange(100) for _ in range(N.LONG)] for k in range(8)}
+    near = {k: texts[k % 4][:-200 * (k // 4)] + texts[k][N.LONG - 200 * (k // 4):] if k >= 4 else texts[k] for k in range(8)}
+    sets = spark.createDataFrame([(k, 100 if k != 5 else 50, near[k]) for k in range(8)], "k long, n long, marks array<tinyint>")
+    bands = [(key, [random.randrange(8) for _ in range(1 + key % 7)]) for key in range(300)]
+    rows = [(key, k, 0 if k in (2, 6) else k, len(set(ks))) for key, ks in bands for k in set(ks)]
+    met = spark.createDataFrame(rows, "key long, k long, c long, m long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r.a, r.b) for r in N._within(met, sets, 1, 0.8).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(512))
+    assert got == {(0, 4), (3, 7)}
