@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +38,14 @@ class Parts:
         self.number: dict[bytes, int] = {}
         self.first, self.size, self.store, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, parts: list[bytes]) -> None:
+    def _found(self, parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The parts in some order, their ids in that order, and the number of ids of each."""
         found = list(self.ids_of(parts))
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        return parts, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def _learn(self, parts: list[bytes]) -> None:
+        parts, flat, size = self._found(parts)
         if self.used + len(flat) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros(len(self.store) + len(flat), np.uint32)])
         self.store[self.used:self.used + len(flat)] = flat
@@ -77,10 +81,12 @@ class Parts:
         if len(self.number) > self.LIMIT:
             self._clear()
         known, number = parts.dictionary.to_pylist(), self.number
-        new = [p for p in known if p not in number]
+        numbers = np.fromiter(map(number.get, known, repeat(-1)), np.int64, len(known))
+        new = np.flatnonzero(numbers < 0).tolist()
         if new:
-            self._learn(new)
-        of = np.fromiter(map(number.__getitem__, known), np.int64, len(known))[parts.indices.to_numpy(zero_copy_only=False)]
+            self._learn([known[i] for i in new])
+            numbers[new] = [number[known[i]] for i in new]
+        of = numbers[parts.indices.to_numpy(zero_copy_only=False)]
         sizes = self.size[of]
         ids = self.store[ragged(self.first[of], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(edges, bounds)]

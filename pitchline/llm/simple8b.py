@@ -150,6 +150,9 @@ class Encoder(Parts):
     where the pre-tokenizer isn't the usual byte-level one.
     """
 
+    LIMIT = 800_000
+    RUN = 512                                          # parts that the library gets as one text
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -159,6 +162,9 @@ class Encoder(Parts):
             described = json.load(file)
         before = described.get("pre_tokenizer") or {}
         usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        size = self.tokenizer.get_vocab_size()
+        #: Tokens that begin with a space. A space in front of another character always begins a piece, so it begins a token, too.
+        self.spaced = np.fromiter(((self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)), bool, size)
         super().__init__(self._library, usual and not described.get("normalizer"),
                          [t["content"].encode() for t in described.get("added_tokens") or []])
 
@@ -166,6 +172,21 @@ class Encoder(Parts):
         texts = [p.decode("utf-8", "replace") for p in parts]
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _found(self, parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Parts of one space and what follows it are encoded many at a time and parted again where tokens begin with a space."""
+        if not self.cuts:
+            return super()._found(parts)
+        plain, others = [], []
+        for part in parts:
+            (plain if part[:1] == b" " and len(part) > 1 and part.count(b" ") == 1 else others).append(part)
+        others, flat, size = super()._found(others)
+        runs = self._library([b"".join(plain[low:low + self.RUN]) for low in range(0, len(plain), self.RUN)])
+        run = np.concatenate([np.zeros(0, np.uint32), *(np.array(ids, np.uint32) for ids in runs)])
+        ends = np.append(np.flatnonzero(self.spaced[run]), len(run))
+        if len(ends) != len(plain) + 1:
+            raise ValueError("a token goes on over the begin of a part")
+        return plain + others, np.concatenate([run, flat]), np.concatenate([np.diff(ends), size])
+
 
 _encoders: dict[str, Encoder] = {}
 

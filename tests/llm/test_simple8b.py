@@ -103,3 +103,21 @@ def test_cuts_against_the_library(texts):
     ids, sizes = S.encoder(S.tokenizer_path()).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     library = S.encoder(S.tokenizer_path()).tokenizer
     assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_parts_go_to_the_library_many_at_a_time():
+    """Words after a space are encoded in runs; the ids are those of whole texts, also with blanks, controls and added tokens between."""
+    import numpy as np
+
+    from pitchline.llm import simple8b as S
+
+    own, calls = S.Encoder(S.tokenizer_path()), []
+    library = own._library
+    own.ids_of = own._library = lambda parts: calls.extend(parts) or library(parts)
+    texts = [" ".join("wé" + "".join(chr(97 + int(d)) for d in str(i * 7919)) for i in range(3000)), "a  b\n c \t d   e  f . , 'll 's  ", " ", "", "x <|endoftext|> y z",
+             " Ġx Ġ y\x1fz \x00 q", "".join(f" .{i} ,x!" for i in range(50))]
+    raw = [t.encode() for t in texts]
+    ids, sizes = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [*map(len, want)] and ids.tolist() == [i for w in want for i in w]
+    assert len(calls) < 500
