@@ -90,6 +90,8 @@ def links(values: DataFrame, max_bits: int = 2) -> DataFrame:
     refined: of the bits outside the segment, dealt into ``max_bits`` + 1 parts, one part is equal, and its value joins the key; then
     the same with what is left. At the last depth the bits that aren't in the key are too few for a large bucket, so lookups stay in
     proportion to fingerprints however crowded a segment is, and no link is lost.
+
+    The planner sizes what is looked up as if a fingerprint had one lookup, so a broadcast of it, which the driver would hold, is ruled out.
     """
     if not 0 <= max_bits < BITS // 2:
         raise ValueError("max_bits is out of range")
@@ -111,7 +113,7 @@ def links(values: DataFrame, max_bits: int = 2) -> DataFrame:
         if crowded is not None and crowded.isEmpty():
             crowded = None
         table_ = filed if crowded is None else filed.join(crowded, key, "left_anti")
-        met = asked.join(table_.withColumnRenamed("fp", "other"), key)
+        met = asked.join(table_.withColumnRenamed("fp", "other").hint("merge"), key)
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits
         found.append(met.filter((F.col("fp") != F.col("other")) & near)
                      .select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")))

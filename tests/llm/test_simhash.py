@@ -4,6 +4,7 @@ import xxhash
 
 from pitchline.llm import simhash
 from pitchline.llm.components import components
+from pitchline.session import materialize
 from tests.llm.helpers import Union, documents, edge_documents, rows, words
 
 
@@ -115,3 +116,12 @@ def test_edges(spark):
     assert sorted(kept.columns) == sorted(edge_documents(spark).columns)
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [0, 3, 4, 4, 6, 7]
     assert simhash.near_duplicates(edge_documents(spark).filter("false")).count() == 0
+
+
+def test_lookups_are_never_broadcast(spark):
+    """A fingerprint has 66 lookups, which the planner counts as one: however small they seem, no side of their join is the driver's."""
+    values = spark.range(3000).selectExpr("xxhash64(id) AS fp")
+    found = simhash.links(materialize(values, "values"))
+    assert found.count() == 0
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
