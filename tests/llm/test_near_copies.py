@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from tests.llm.helpers import SF_DIR, Union, documents, edge_documents, rows, words
 
@@ -151,3 +154,32 @@ def test_small_bands_are_settled_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(512))
     assert got == {(0, 4), (3, 7)}
+
+
+@pytest.mark.parametrize("block", [4 << 20, 60_000])
+def test_no_pair_of_a_crowded_band_is_left_out(spark, monkeypatch, block):
+    """Pairs at 0.81 in a band of over a hundred texts unlike each other, one of them with many copies: brute force over the band finds no more."""
+    from pitchline.llm import near_copies as N
+
+    for name, value in (("BANDS", 1), ("ROWS", 1), ("BLOCK", block)):
+        monkeypatch.setattr(N, name, value, raising=False)
+    random.seed(5)
+
+    def changed(text, n):
+        text = list(text)
+        for at in random.sample(range(200), n):
+            text[at] = f"x{random.randrange(10 ** 6)}"
+        return text
+
+    base, texts = [f"w{random.randrange(5000)}" for _ in range(200)], []
+    for k in range(120):
+        texts.append(changed(base, 10))
+        texts += [changed(texts[-1], 4)] + [changed(texts[-1], 1) for _ in range(40 if not k else 0)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows = documents(spark, docs).select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    bands = {}
+    for r in N.signatures(rows, 5).select("doc_id", "bands").collect():
+        bands.setdefault(r.bands[0], []).append(docs[r.doc_id])
+    assert max(map(len, bands.values())) > 100
+    kept = {r.doc_id for r in C.near_dedup(spark, documents(spark, docs), SF_DIR).collect()}
+    assert kept == set().union(*(brute(sorted(some)) for some in bands.values()))
